@@ -1,25 +1,26 @@
-"""All queries of the library proper, with the SQL that says the same."""
+"""All queries of the library proper, each with the SQL that says the same where SQL can say it.
+
+Every query runs over its whole tables, as sources/adapter.py maps them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from siltstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+PARTS = ("ledger_queries", "text_queries", "window_queries", "stream_queries")
 
 
-def state_route_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("route"))
-    return items.groupingSets([["state"], ["route", "state"]], "state", "route").agg(F.count("*").alias("n"))
+def _parts() -> list:
+    return [import_module(f"siltstone.plans.{p}") for p in PARTS]
 
 
 def queries() -> dict[str, Query]:
-    return {"state_route_grouping_sets": state_route_grouping_sets}
+    return {k: f for p in _parts() for k, f in p.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"state_route_grouping_sets": "select o_orderstatus as state, o_orderpriority as route, count(*) as n from orders group by grouping sets ((o_orderstatus), (o_orderpriority, o_orderstatus))"}
+    return {k: s for p in _parts() for k, s in p.R.sql.items()}
