@@ -32,7 +32,7 @@ def to_end(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return read_batches(spark, path, ddl).select(*schema.names)
 
 
-@R("select cast(ts as date) as day, event_type as kind, count(*) as n from events group by 1, 2")
+@R("select strftime(ts, '%Y-%m-%d') as day, event_type as kind, count(*) as n from events group by 1, 2")
 def stream_day_cohorts(spark, d):
     events = event_stream(spark, d).select("ts", F.col("event_type").alias("kind"))
     return to_end(I.cohorts(events), new_path(spark, "stream-cohorts"), "complete")

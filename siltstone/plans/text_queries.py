@@ -65,10 +65,10 @@ def loose_forms(spark, d):
 
 
 @R(f"""with {ITEMS}, s as (select item_id, name, regexp_replace(regexp_replace(name, '\\.[^.]*$', ''), '\\s*\\(\\d{{1,3}}\\)$', '') as stem from items), p as (select *, regexp_extract(stem, '_(\\d{{6}})_(\\d{{6}})$', 1) || regexp_extract(stem, '_(\\d{{6}})_(\\d{{6}})$', 2) as digits from s)
-    select item_id, 'call' as form, regexp_extract(stem, '^Call (.*)_\\d{{6}}_\\d{{6}}$', 1) as party, try_strptime('20' || digits, '%Y%m%d%H%M%S') as moment, case when name like '% (2).m4a' then 2 end as copy, false as recovered from p""")
+    select item_id, 'call' as form, regexp_extract(stem, '^Call (.*)_\\d{{6}}_\\d{{6}}$', 1) as party, strftime(try_strptime('20' || digits, '%Y%m%d%H%M%S'), '%Y-%m-%d %H:%M:%S') as moment, case when name like '% (2).m4a' then 2 end as copy, false as recovered from p""")
 def filename_parse(spark, d):
     df = items(spark, d).select("item_id", T.parsed_name("name").alias("p"))
-    return df.select("item_id", "p.form", "p.party", F.col("p.at").cast("timestamp_ntz").alias("moment"), "p.copy", "p.recovered")
+    return df.select("item_id", "p.form", "p.party", F.date_format("p.at", "yyyy-MM-dd HH:mm:ss").alias("moment"), "p.copy", "p.recovered")
 
 
 @R(f"""with {ITEMS} select item_id, left(sha256(cast(item_id as varchar)), 8) as tag, regexp_replace(regexp_replace(name, '[\\\\/:*?"<>|#%@]+', '-', 'g'), '^[-. ]+|[-. ]+$', '', 'g') as stem from items""")

@@ -130,7 +130,7 @@ def due_jobs(marks: DataFrame, now: str, retry_s: int = 1800) -> DataFrame:
 def cohorts(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Day cohorts of a stream of events (ts, kind); late rows within the delay still count."""
     ts = F.col("ts").cast("timestamp")
-    return events.withColumn("ts", ts).withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").cast("date").alias("day"), "kind", "n")
+    return events.withColumn("ts", ts).withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w"), "kind").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "kind", "n")
 
 
 def sql_functions(spark: SparkSession) -> None:
