@@ -5,7 +5,7 @@ directions, and every combination of one direction a block is a filter direction
 direction its inner product exceeds the cap's height; they are list-decoded block by block, dropping partial sums that
 can't reach it any more.  Vectors that share a filter meet there, and their cosine is computed in double precision.
 
-Height and number of filters follow from the rows of the largest label: a filter holds about PER_FILTER vectors however
+Vectors under LEAST_DIM components share one filter.  Height and number of filters follow from the rows of the largest label: a filter holds about PER_FILTER vectors however
 many there are, and a pair at the threshold shares one with probability RECALL (closer pairs: more).  Equal vectors are
 compared once.  Filters with more than SPLIT vectors (groups of near copies) are cut into chunks, and pairs of chunks go
 to different tasks.  A pair is counted in the first filter that its vectors share, and only there; counts and a spanning
@@ -32,18 +32,24 @@ from siltstone.llm.simhash import _roots
 
 THRESHOLD, RECALL, PER_FILTER, SPLIT = 0.93, 0.9999, 16, 2_048
 TILE = 1_024
+LEAST_DIM = 16  #: shorter vectors all share one filter
 
 
-def upper_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+GRID = np.linspace(-1, 1, 20_001)
 
 
-def shared_share(z: float, cosine: float) -> float:
-    """Chance that a vector at this cosine is in a cap of height z (in deviations) that holds the other one."""
-    x = np.linspace(z, z + 8, 4001)
-    rest = np.array([upper_tail((z - cosine * v) / math.sqrt(1 - cosine**2)) for v in x])
-    weight = np.exp(-(x**2) / 2)
-    return float((weight * rest).sum() / weight.sum())
+def cap_share(height: np.ndarray | float, dim: int) -> np.ndarray:
+    """Share of the unit sphere whose inner product with a direction is at least `height`."""
+    density = np.cumsum((1 - np.clip(GRID, -1, 1) ** 2) ** ((dim - 3) / 2))
+    return 1 - np.interp(height, GRID, density / density[-1])
+
+
+def shared_share(height: float, cosine: float, dim: int) -> float:
+    """Chance that a vector at this cosine is in a cap of this height that holds the other one."""
+    x = np.linspace(height, 0.999, 4001)
+    need = (height - cosine * x) / np.sqrt((1 - cosine**2) * (1 - x**2))
+    weight = (1 - x**2) ** ((dim - 3) / 2)
+    return float((weight * cap_share(need, dim - 1)).sum() / weight.sum())
 
 
 @dataclass(frozen=True)
@@ -58,15 +64,17 @@ class Filters:
 
     @staticmethod
     def design(dim: int, rows: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Filters:
-        """rows: of the largest label.  The hits of filters that share block directions are not independent, hence four times as many."""
+        """rows: of the largest label.  The hits of filters that share block directions are not independent, hence twice as many."""
+        if dim < LEAST_DIM:
+            return Filters(dim, 1, 1, -2.0)  # one filter that holds all
         share = min(0.05, max(PER_FILTER / max(rows, 1), 1e-6))
-        low, high = 0.0, 6.0
-        while high - low > 1e-6:
+        low, high = 0.0, 1.0
+        while high - low > 1e-9:
             mid = (low + high) / 2
-            low, high = (mid, high) if upper_tail(mid) > share else (low, mid)
-        hits = 4 * -math.log(1 - recall) / shared_share(low, threshold)
+            low, high = (mid, high) if cap_share(mid, dim) > share else (low, mid)
+        hits = 2 * -math.log(1 - recall) / shared_share(low, threshold, dim)
         blocks = max(1, min(dim // 8, 2 if hits / share < 40_000 else 3))
-        return Filters(dim, blocks, max(2, math.ceil((hits / share) ** (1 / blocks))), low / math.sqrt(dim))
+        return Filters(dim, blocks, max(2, math.ceil((hits / share) ** (1 / blocks))), low)
 
     def parts(self) -> list[np.ndarray]:
         return np.array_split(np.arange(self.dim), self.blocks)
@@ -102,37 +110,34 @@ class Filters:
 
 
 def with_use(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, embedding, and whether the row can link."""
+    """vec_id, label, vector, and whether the row can link."""
     e = F.col("embedding")
     fine = F.forall(e, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(e, lambda x: x != 0)
-    df = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", e.cast("array<double>").alias("embedding"))
-    return df.withColumn("use", F.coalesce(fine & F.col("label").isNotNull(), F.lit(False)))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", e.alias("vector"), F.coalesce(fine & F.col("label").isNotNull(), F.lit(False)).alias("use"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), dim)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of extreme components stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def filed(classes: DataFrame, dim: int, filters: Filters) -> DataFrame:
-    """label, rep, copies, embedding (of length one), filters (all, ascending), filter: a row for each filter of a vector."""
+    """label_key, rep, copies, vector, filters (all that hold it, ascending)."""
+    kind = classes.schema["vector"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, codes = filters.tables()
         for whole in batches:
             for lo in range(0, len(whole), 256):
                 batch = whole.slice(lo, 256)
-                x = _matrix(batch.column("embedding"), dim)
-                row, name = filters.decode(x, turn, codes)
+                row, name = filters.decode(_matrix(batch.column("vector"), dim), turn, codes)
                 order = np.lexsort((name, row))
                 at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(batch)))])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(name[order]))
-                unit = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * dim, pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("label_key"), batch.column("rep"), batch.column("copies"), unit, lists], ["label_key", "rep", "copies", "unit", "filters"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label_key", "rep", "copies", "vector")), lists], ["label_key", "rep", "copies", "vector", "filters"])
 
-    out = classes.select("label_key", "rep", "copies", "embedding").mapInArrow(run, "label_key string, rep long, copies long, unit array<double>, filters array<long>")
-    return out.withColumn("filter", F.explode("filters"))
+    return classes.select("label_key", "rep", "copies", "vector").mapInArrow(run, f"label_key string, rep long, copies long, vector {kind.simpleString()}, filters array<long>")
 
 
 def _first_shared(lists: list[np.ndarray], this: int) -> np.ndarray:
@@ -189,8 +194,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
         end = np.concatenate([new[1:], [table.num_rows]])
         rep, copies, chunk = (col[c].to_numpy(zero_copy_only=False) for c in ("rep", "copies", "chunk"))
-        dim = len(col["unit"][0])
-        x = col["unit"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        x = _matrix(col["vector"], len(col["vector"][0]))
         at, lists = col["filters"].offsets.to_numpy(), col["filters"].values.to_numpy()
         out: list[list[np.ndarray]] = [[], [], []]
         for lo, hi in zip(new, end, strict=True):
@@ -224,41 +228,44 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(pa.Table.from_batches(held))
 
 
-def met(rows: DataFrame) -> DataFrame:
-    """a, b, is_link from the rows of filed(): counts (rep, copies linked with) and links of a spanning forest."""
-    n = partitions(rows.sparkSession)
-    rows = saved(rows, "caps-filed")
+def met(vectors: DataFrame) -> DataFrame:
+    """a, b, is_link from filed() vectors: counts (rep, copies linked with) and links of a spanning forest.
+
+    Who meets whom is settled on narrow rows; vectors join them once and are dealt out once."""
+    n = partitions(vectors.sparkSession)
+    vectors = saved(vectors, "caps-filed")
+    rows = vectors.select("label_key", "rep", F.explode("filters").alias("filter"))
     large = rows.groupBy("label_key", "filter").agg(F.count("*").alias("size")).where("size > 1")
     dealt = rows.join(large, ["label_key", "filter"]).withColumn("chunks", F.ceil(F.col("size") / SPLIT).cast("int"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.withColumns({"one": F.least("chunk", "other"), "two": F.greatest("chunk", "other")}).drop("size", "chunks", "other")
-    dealt = dealt.repartition(n, "label_key", "filter", "one", "two").sortWithinPartitions("label_key", "filter", "one", "two")
+    dealt = dealt.withColumns({"one": F.least("chunk", "other"), "two": F.greatest("chunk", "other")}).drop("size", "chunks", "other", "label_key")
+    dealt = dealt.join(vectors, "rep").repartition(n, "label_key", "filter", "one", "two").sortWithinPartitions("label_key", "filter", "one", "two")
     return dealt.mapInArrow(_meet, "a long, b long, is_link boolean")
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     all_ = with_use(vectors)
-    good = all_.where("use").withColumn("label_key", F.concat_ws(":", F.size("embedding"), "label"))
-    classes = good.groupBy("label_key", "embedding").agg(F.min("vec_id").alias("named"), F.count("*").alias("copies"))
+    good = all_.where("use").withColumn("label_key", F.concat_ws(":", F.size("vector"), "label"))
+    classes = good.groupBy("label_key", "vector").agg(F.min("vec_id").alias("named"), F.count("*").alias("copies"))
     # Classes get a number of their own: two of them may share a vec_id, or have none.
-    classes = saved(classes.withColumn("rep", F.xxhash64("label_key", "embedding")), "caps-classes")
+    classes = saved(classes.withColumn("rep", F.monotonically_increasing_id()), "caps-classes")
     found = None
-    sizes = classes.groupBy(F.size("embedding").alias("dim"), "label_key").count().groupBy("dim").agg(F.max("count").alias("n")).collect()  # a row for each length
+    sizes = classes.groupBy(F.size("vector").alias("dim"), "label_key").count().groupBy("dim").agg(F.max("count").alias("n")).collect()  # a row for each length
     for dim, n in sorted(map(tuple, sizes)):
-        part = met(filed(classes.where(F.size("embedding") == dim), dim, Filters.design(dim, n)))
+        part = met(filed(classes.where(F.size("vector") == dim), dim, Filters.design(dim, n)))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     found = saved(found, "caps-found")
     counts = found.where("not is_link").groupBy("a").agg(F.sum("b").alias("linked"))
     ties = components(found.where("is_link").select("a", "b"), "caps-links")
-    info = classes.select("label_key", "embedding", "rep", "copies", "named")
+    info = classes.select("label_key", "vector", "rep", "copies", "named")
     info = saved(info.join(counts, info.rep == counts.a, "left").join(ties, info.rep == ties.id, "left").withColumn("root", F.coalesce("component", "rep")), "caps-info")
     least = info.groupBy("root").agg(F.min("named").alias("component_id"))
-    info = saved(info.join(least, "root").select("label_key", "embedding", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "caps-classes")
-    ours = good.join(info, ["label_key", "embedding"]).select("vec_id", "n_links", "component_id")
+    info = saved(info.join(least, "root").select("label_key", "vector", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "caps-classes")
+    ours = good.join(info, ["label_key", "vector"]).select("vec_id", "n_links", "component_id")
     rest = all_.where("not use")
     rest = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return ours.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

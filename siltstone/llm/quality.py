@@ -33,9 +33,9 @@ _SPACE = " \t\n\x0b\f\r"
 
 def base_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines."""
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.trim(whole(), F.lit(_SPACE)).alias("t"))
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", whole().alias("x"), F.trim(whole(), F.lit(_SPACE)).alias("t"))
     df = df.withColumn("w", F.when(F.col("t") == "", F.array().cast("array<string>")).otherwise(F.split("t", WHITE + "+")))
-    df = df.withColumn("l", F.filter(F.split("t", "\n"), lambda x: F.trim(x, F.lit(_SPACE)) != ""))
+    df = df.withColumn("l", F.filter(F.split("x", "\n"), lambda x: F.trim(x, F.lit(_SPACE)) != ""))
     n = F.size("w")
     windows = F.transform(F.slice("w", 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
     df = df.select(
@@ -55,7 +55,6 @@ def base_statistics(docs: DataFrame) -> DataFrame:
 def with_features(stats: DataFrame) -> DataFrame:
     rate = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    # Runs of two line ends and texts trimmed at their ends don't change which lines have a word.
     return stats.withColumns(
         {
             "base_failed": failed,

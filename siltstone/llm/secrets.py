@@ -80,6 +80,9 @@ def of_strings(strings: set[str]) -> Query:
     return either([one(s) for s in strings])
 
 
+REPEATS = (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT)
+
+
 def analyse(items: Sequence) -> tuple[set[str] | None, Query]:
     """Of a sequence of parsed items: the strings it can be if they are few, and a query that all its matches meet."""
     now: set[str] = {""}
@@ -93,7 +96,11 @@ def analyse(items: Sequence) -> tuple[set[str] | None, Query]:
 
     for op, arg in items:
         strings, query = one_item(op, arg)
-        if strings is not None and len(now) * len(strings) <= MOST_STRINGS:
+        if op in REPEATS and strings is None and arg[0] == 1 and (body := analyse(arg[2])[0]) and len(now) * len(body) <= MOST_STRINGS:
+            now = {a + b for a in now for b in body}  # the first of the repeated ends this run, the last of them begins the next
+            flush()
+            now = body
+        elif strings is not None and len(now) * len(strings) <= MOST_STRINGS:
             now = {a + b for a in now for b in strings}
         else:
             flush()
@@ -127,7 +134,7 @@ def one_item(op: object, arg: object) -> tuple[set[str] | None, Query]:
         if all(s is not None for s, _ in found) and sum(len(s) for s, _ in found) <= MOST_STRINGS:
             return set().union(*(s for s, _ in found)), None
         return None, either([q for _, q in found])
-    if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
+    if op in REPEATS:
         low, high, body = arg
         strings, query = analyse(body)
         if strings is not None and (low, high) == (0, 1):

@@ -35,6 +35,7 @@ THRESHOLD = 0.3
 LEAST_TEXTS = 3  #: distinct toxic texts that a word must be in
 LEAST_ODDS = 2.5  #: and its log-odds
 FOLDS = 3
+SLICE = 256  #: rows of a batch that are taken apart at a time
 NEAR = 4  #: words between a lexicon word and a second-person word that count as near
 
 #: Second-person words of the corpus's languages.
@@ -231,7 +232,7 @@ def learn_lexicons(rows: DataFrame, size: int = LEXICON) -> list[dict[str, float
     fold k for each k, and last one from all folds.  One grouped count gives them all."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, len(b), SLICE)):
             got = zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True)
             rows = [(e, y, f) for t, y, f in got for e in {e for w in set(tokens(t)) if len(w) <= 40 for e in entries(w)}]
             cols = zip(*rows, strict=True) if rows else [[]] * 3
@@ -261,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [Words(x) for x in partial]
-        for batch in batches:
+        for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, len(b), SLICE)):
             folds = batch.column("fold")
             x = [features(t, words[f]) for t, f in zip(batch.column("text").to_pylist(), folds.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic"), folds], ["x", "y", "fold"])
@@ -292,7 +293,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            s = [shared.value.scores([t or "" for t in texts.slice(lo, 512).to_pylist()]) for lo in range(0, len(batch), 512)]
+            s = [shared.value.scores([t or "" for t in texts.slice(lo, SLICE).to_pylist()]) for lo in range(0, len(batch), SLICE)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *s]))], [*batch.schema.names, column])
 
     return rest.mapInArrow(run, schema)
