@@ -295,3 +295,33 @@ def gate_assessed(spark, d):
     model = docs(spark, d).where("n_chars > 200").select("doc_id", F.lit(100).alias("start"), F.lit(200).alias("end"), F.lit("commercial").alias("category"), F.lit("model").alias("rule"), ((F.col("doc_id") % 10) / 10).alias("confidence"), F.lit("model").alias("source"))
     held, labelled = G.assessed(rules, model)
     return held.select("doc_id", "start", "end", F.lit("held").alias("band")).unionByName(labelled.select("doc_id", "start", "end", F.lit("labelled").alias("band")))
+
+
+# --- reports --------------------------------------------------------------------------------------------------------
+
+
+@R(f"""with {ITEMS}, d as (select route, left(discovered_at, 10) as day, count(*) as a, count(*) filter (state = 'DONE') as done, count(*) filter (state = 'QUARANTINED') as q, count(*) filter (state not in ('DONE', 'QUARANTINED', 'SKIPPED_EMPTY', 'ERASED')) as f from items group by 1, 2)
+    select route, day, day || ': ' || case when q > 0 then q || ' to look at; ' else '' end || case when a = 0 then 'nothing arrived' when done = a and f = 0 then 'all ' || done || ' done' else done || ' of ' || a || ' done' || case when f > 0 then ', ' || f || ' waiting' else '' end end as subject from d""")
+def report_subjects(spark, d):
+    from siltstone.functions.report import subject
+    from siltstone.operators.ledger import cohort
+
+    df = cohort(items(spark, d))
+    return df.select("route", "day", subject(F.col("day"), F.col("discovered"), F.col("done"), F.col("quarantined"), F.col("in_flight")).alias("subject"))
+
+
+@R("select event_id, strftime(ts + interval 2 hour, '%d%m%y %H%M') as typed, strftime(ts + interval 2 hour, '%Y-%m-%d %H:%M') as local from events")
+def local_stamps(spark, d):
+    from siltstone.functions.report import local, typed_stamp
+
+    t = local(F.col("ts").cast("timestamp"), "Africa/Johannesburg")
+    return table(spark, d, "events").select("event_id", typed_stamp(t).alias("typed"), F.date_format(t, "yyyy-MM-dd HH:mm").alias("local"))
+
+
+@R()
+def held_contexts(spark, d):
+    """Each passage's first hundred characters with two held spans replaced."""
+    from siltstone.functions.report import context
+
+    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(r).alias("ref")) for a, b, r in ((10, 20, "AAAAAA"), (15, 40, "BBBBBB"))))
+    return table(spark, d, "benchmark").select("item_id", context("text", F.lit(0), F.lit(100), spans).alias("context"))
