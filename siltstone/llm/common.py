@@ -45,6 +45,13 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Smallest id reachable from each id that has a link, by alternating large-star and small-star rounds.
 

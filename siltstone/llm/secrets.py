@@ -3,7 +3,8 @@
 From each rule's parsed regular expression a Boolean query over trigrams is derived: what every match must contain.  Texts
 are taken in blocks; a block's inverted index maps each trigram that some rule asks for to its posting list of documents,
 with ASCII letters folded.  A rule's candidates are the documents that its query leaves after intersecting and uniting
-postings; only they are verified with the expression itself.  A rule whose query is empty (no mandatory trigram, such as
+postings; only they are verified with the expression itself.  (`build_index` keeps an index of all trigrams of a corpus as a
+table, for rules that come later: `find` reads the postings that they ask for and nothing else of it.)  A rule whose query is empty (no mandatory trigram, such as
 a run of hex digits) scans every document.  Blocks are built, used and dropped within a task: no shuffle, bounded memory,
 and a lost executor costs the blocks it was at.
 
@@ -208,15 +209,23 @@ class Scanner:
 
     def texts(self, column: pa.Array) -> Iterator[tuple[list[str], list[list[tuple[int, int, str]]]]]:
         """Block by block: the texts and their spans."""
-        raw = column.fill_null("").cast(pa.large_binary())
-        at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
-        data = np.frombuffer(raw.buffers()[2], np.uint8) if len(raw) and raw.buffers()[2] else np.zeros(0, np.uint8)
-        lo = 0
-        while lo < len(raw):
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + BLOCK_BYTES, side="right")) - 1)
-            texts = [x.decode() for x in raw.slice(lo, hi - lo).to_pylist()]
-            yield texts, self.block(texts, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-            lo = hi
+        for lo, hi, data, at in blocks_of(column):
+            texts = [x or "" for x in column.slice(lo, hi - lo).to_pylist()]
+            yield texts, self.block(texts, data, at)
+
+
+def blocks_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows of about BLOCK_BYTES: first row, row after the last, their bytes, and where each begins (and the end)."""
+    raw = column.fill_null("").cast(pa.large_binary())
+    if not len(raw):
+        return
+    at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(raw):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + BLOCK_BYTES, side="right")) - 1)
+        yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        lo = hi
 
 
 @lru_cache(maxsize=4)
@@ -239,6 +248,59 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return picked.mapInArrow(run, "doc_id long, spans array<struct<kind string, start long, end long>>")
 
 
+POSTINGS = "gram int, docs array<long>"
+
+
+def build_index(docs: DataFrame, path: str) -> None:
+    """Writes the postings of all trigrams of docs (doc_id, not null, and text): a row a trigram and block of texts, sorted by
+    trigram within a file, so that a reader's filter on trigrams prunes row groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lower = scanner(()).lower
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for lo, hi, data, at in blocks_of(batch.column("text")):
+                low = lower[data].astype(np.int64)
+                gram = low[:-2] << 16 | low[1:-1] << 8 | low[2:] if len(low) > 2 else low[:0]
+                pos = np.arange(len(gram))
+                doc = np.searchsorted(at, pos, side="right") - 1
+                inside = pos + 2 < at[doc + 1]
+                pairs = np.unique(gram[inside] << 32 | doc[inside])
+                grams, first = np.unique(pairs >> 32, return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(pairs)]]), pa.int32()), pa.array(ids[lo:hi][pairs & 0xFFFFFFFF], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int32)), lists], ["gram", "docs"])
+
+    picked = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    picked.mapInArrow(run, POSTINGS).sortWithinPartitions("gram").write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
+
+
+def meets(query: Query, held: Column) -> Column:
+    """Whether the trigrams held (an array of numbers) meet a query."""
+    if query is None:
+        return F.lit(True)
+    if isinstance(query, bytes):
+        return F.array_contains(held, int.from_bytes(query, "big"))
+    parts = [meets(q, held) for q in query[1]]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out & p if query[0] == "and" else out | p
+    return out
+
+
+def find(docs: DataFrame, path: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """doc_id and spans of the documents in which some rule is found, by way of the index at path.
+
+    Postings are united by document into the few trigrams that the rules ask for; only documents that meet a rule's query
+    are read and verified.  A rule without mandatory trigrams reads them all."""
+    spark, queries = docs.sparkSession, [trigram_query(r.pattern) for r in rules]
+    if None not in queries:
+        wanted = sorted(int.from_bytes(g, "big") for g in set().union(*map(trigrams, queries)))
+        postings = spark.read.schema(POSTINGS).parquet(path).where(F.col("gram").isin(*wanted))
+        held = postings.select("gram", F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(F.collect_set("gram").alias("held"))
+        docs = docs.join(held.where(meets(either(queries), F.col("held"))).select("doc_id"), "doc_id", "left_semi")
+    return scan(docs, rules).where(F.size("spans") > 0)
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 

@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import components, partitions, saved
+from siltstone.llm.common import components, free_name, partitions, saved
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 PAIRWISE = 48  #: larger groups in a grid point are linked by balls
@@ -180,12 +180,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but one document (smallest doc_id) of each class; repeats of its row go too."""
-    from pyspark.sql import Window
-
+    """docs without all but one document (smallest doc_id) of each class.  Rows that share a doc_id are one document, of
+    which one row stays; rows without a doc_id can't be told apart and stay."""
     keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
+    kept, place = docs.join(keep, "doc_id", "left_semi"), free_name(docs, "place")
     first = Window.partitionBy("doc_id").orderBy(*docs.columns)
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-
-
+    kept = kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
+    return kept.unionByName(docs.where("doc_id is null"))

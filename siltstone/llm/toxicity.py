@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import saved
+from siltstone.llm.common import free_name, saved
 
 SAMPLE = 30_000  #: labelled rows that are used for fitting, at most (about)
 LEXICON = 1_500  #: words
@@ -308,5 +308,5 @@ def classified(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
 
 def clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs without those that score THRESHOLD or more."""
-    names = docs.columns
-    return score(docs, fit(docs, labels, sample), "__score").where(F.col("__score") < THRESHOLD).select(*names)
+    name = free_name(docs, "score")
+    return score(docs, fit(docs, labels, sample), name).where(F.col(name) < THRESHOLD).drop(name)

@@ -83,6 +83,20 @@ def test_base_spans_by_full_scan(spark):
         assert r.spans == ",".join(f"{secrets.RULES[k].kind}:{s}:{e}" for s, k, e in sorted(full))
 
 
+def test_kept_index_finds_what_a_scan_finds(spark, tmp_path):
+    rng = random.Random(2)
+    bits = ["secret", "token=abcdefgh1", "AKIA0123456789AB", " ", "é", "PASSWD: 'x12345678", "xox", "b-abcdefghijk"]
+    texts = [None, "", "ab"] + ["".join(rng.choices(bits, k=rng.randint(1, 8))) for _ in range(300)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "index")
+    secrets.build_index(df, path)
+    for rules in (secrets.RULES[:2], secrets.RULES[5:6], secrets.RULES):
+        want = sorted((r.doc_id, r.spans) for r in secrets.scan(df, rules).collect() if r.spans)
+        assert sorted((r.doc_id, r.spans) for r in secrets.find(df, path, rules).collect()) == want and want
+    some = spark.read.parquet(path).where(F.col("gram") == int.from_bytes(b"sec", "big")).select(F.explode("docs").alias("d"))
+    assert {r.d for r in some.collect()} == {k for k, t in enumerate(texts) if "sec" in (t or "").lower()}
+
+
 @pytest.mark.parametrize("pattern,want", [("abcd", {b"abc", b"bcd"}), ("ab|cd", set()), ("abc|bcd", {b"abc", b"bcd"}), ("x*abc+d", {b"abc"}), ("[a-z]+", set()), ("(?i:KEY)=", {b"key", b"ey="}), ("a(bc)?d", set()), ("ab{3}", {b"abb", b"bbb"})])
 def test_queries_of_expressions(pattern, want):
     assert secrets.trigrams(secrets.trigram_query(pattern)) == want
@@ -215,6 +229,7 @@ def test_mixing(spark, seed):
     words = Counter()
     for r in mixed:
         words[r.source] += len(r.text.split())
+        assert r.size == r.doc_id  # a column of docs, not the number of words
     assert all(abs(words[s] - want[s]) <= 41 for s in sizes if sizes[s])
 
 

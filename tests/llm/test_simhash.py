@@ -93,9 +93,9 @@ def test_near_duplicates_by_brute_force(spark):
 
 
 def test_one_of_each_keeps_columns(spark):
-    rows = [(2, "a b c d", "x"), (1, "A B C D", "y"), (1, "A B C D", "y"), (3, "quite another text here", None)]
-    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert got.columns == ["doc_id", "text", "lang"] and sorted(r.doc_id for r in got.collect()) == [1, 3]
+    rows = [(2, "a b c d", "x"), (1, "A B C D", "y"), (1, "A B C D", "y"), (3, "quite another text here", None), (None, "no id", "z")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, place string"))
+    assert got.columns == ["doc_id", "text", "place"] and sorted(r.doc_id or 0 for r in got.collect()) == [0, 1, 3]
 
 
 def test_components_of_long_chains_and_hubs(spark):
