@@ -204,9 +204,10 @@ def outstanding_releases(spark, d):
     return L.outstanding_releases(h, h.where("n % 3 = 0")).select("hold_id", "item_id", "held_at", "answered_at")
 
 
-@R(f"with {ITEMS} select name, count(*) as n, min(item_id) as first_item from items group by 1 having count(*) > 1")
+@R(f"with {ITEMS} select left(name, 22) as name, count(*) as n, min(item_id) as first_item from items group by 1 having count(*) > 1")
 def output_name_owners(spark, d):
-    return L.name_owners(items(spark, d))
+    """Names cut at the day: how many items of one party and day there are."""
+    return L.name_owners(items(spark, d).withColumn("name", F.substring("name", 1, 22)))
 
 
 def routes_of(spark, d):
@@ -295,7 +296,7 @@ def grouped_queue(spark, d):
 
 @R(f"with {HOLDS} select site, count(*) as n, count(distinct item_id) as recordings, max(greatest(0, date_diff('day', cast(left(held_at, 10) as date), date '2002-01-01'))) as oldest_days from holds where decision = 'PENDING' and mode = 'on' group by 1")
 def held_sites(spark, d):
-    return L.held_sites(holds(spark, d), "2002-01-01")
+    return L.held_sites(holds(spark, d), "2002-01-01").withColumn("oldest_days", F.col("oldest_days").cast("long"))
 
 
 @R(f"""with {ITEMS}, q as (select left(discovered_at, 10) as day, count(*) as queued from items where {OPEN} group by 1 order by 1 desc limit 14), w as (select *, lag(queued, 1) over (order by day) as a, lag(queued, 2) over (order by day) as b from q)
@@ -351,6 +352,6 @@ def json_meta_field(spark, d):
     return table(spark, d, "events").select("event_id", k.alias("k"), (k > 50).alias("late"))
 
 
-@R("select count(distinct user_id) as items, sum(cast(json_extract(props, '$.k') as bigint)) as attention, count(*) filter (value > 50) as large, min(strftime(ts, '%Y-%m-%d')) as day from events")
+@R("select count(distinct user_id) as items, cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) as attention, count(*) filter (value > 50) as large, min(strftime(ts, '%Y-%m-%d')) as day from events")
 def attention_totals(spark, d):
     return table(spark, d, "events").agg(F.countDistinct("user_id").alias("items"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("attention"), F.count_if(F.col("value") > 50).alias("large"), F.min(F.date_format("ts", "yyyy-MM-dd")).alias("day"))

@@ -21,7 +21,7 @@ def docs(spark, d):
 
 @R("select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]'))) as words from documents")
 def word_count(spark, d):
-    return docs(spark, d).select("doc_id", T.count_words("text").alias("words"))
+    return docs(spark, d).select("doc_id", T.count_words("text").cast("long").alias("words"))
 
 
 @R("""with w as (select doc_id, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]')), lambda x: lower(regexp_replace(x, '^[.,;:!?"''()\\[\\]]+|[.,;:!?"''()\\[\\]]+$', '', 'g'))) as w from documents)
@@ -32,7 +32,7 @@ def distinct_word_ratio(spark, d):
 
 @R(r"select doc_id, len(regexp_extract_all(lower(text), '[0-9a-zà-ɏ]+')) as tokens from documents")
 def token_counts(spark, d):
-    return docs(spark, d).select("doc_id", F.size(T.tokens("text")).alias("tokens"))
+    return docs(spark, d).select("doc_id", F.size(T.tokens("text")).cast("long").alias("tokens"))
 
 
 EMAIL = r"(?i)[A-Z0-9._%+\-]+\s*(?:@|＠|﹫|%40|&#0*64;|&commat;)\s*[A-Z0-9\-]+(?:\.[A-Z0-9\-]+)*\.[A-Z]{2,}"
@@ -65,10 +65,10 @@ def loose_forms(spark, d):
 
 
 @R(f"""with {ITEMS}, s as (select item_id, name, regexp_replace(regexp_replace(name, '\\.[^.]*$', ''), '\\s*\\(\\d{{1,3}}\\)$', '') as stem from items), p as (select *, regexp_extract(stem, '_(\\d{{6}})_(\\d{{6}})$', 1) || regexp_extract(stem, '_(\\d{{6}})_(\\d{{6}})$', 2) as digits from s)
-    select item_id, 'call' as form, regexp_extract(stem, '^Call (.*)_\\d{{6}}_\\d{{6}}$', 1) as party, strftime(try_strptime('20' || digits, '%Y%m%d%H%M%S'), '%Y-%m-%d %H:%M:%S') as moment, case when name like '% (2).m4a' then 2 end as copy, false as recovered from p""")
+    select item_id, 'call' as form, regexp_extract(stem, '^Call (.*)_\\d{{6}}_\\d{{6}}$', 1) as party, strftime(try_strptime('20' || digits, '%Y%m%d%H%M%S'), '%Y-%m-%d %H:%M:%S') as moment, cast(case when name like '% (2).m4a' then 2 else 0 end as int) as copy, false as recovered from p""")
 def filename_parse(spark, d):
     df = items(spark, d).select("item_id", T.parsed_name("name").alias("p"))
-    return df.select("item_id", "p.form", "p.party", F.date_format("p.at", "yyyy-MM-dd HH:mm:ss").alias("moment"), "p.copy", "p.recovered")
+    return df.select("item_id", "p.form", "p.party", F.date_format("p.at", "yyyy-MM-dd HH:mm:ss").alias("moment"), F.coalesce("p.copy", F.lit(0)).alias("copy"), "p.recovered")
 
 
 @R(f"""with {ITEMS} select item_id, left(sha256(cast(item_id as varchar)), 8) as tag, regexp_replace(regexp_replace(name, '[\\\\/:*?"<>|#%@]+', '-', 'g'), '^[-. ]+|[-. ]+$', '', 'g') as stem from items""")
@@ -99,7 +99,7 @@ def html_escaped(spark, d):
 @R("""select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as stamp, greatest(0, date_diff('day', date '2024-01-10', cast(ts as date))) as days,
     printf('%02d:%02d:%02d', cast(floor(value * 100) as bigint) // 3600, cast(floor(value * 100) as bigint) // 60 % 60, cast(floor(value * 100) as bigint) % 60) as clock from events""")
 def dates_and_clocks(spark, d):
-    return table(spark, d, "events").select("event_id", T.stamp("ts").alias("stamp"), T.days_between(F.lit("2024-01-10"), F.date_format("ts", "yyyy-MM-dd")).alias("days"), T.clock(F.col("value") * 100).alias("clock"))
+    return table(spark, d, "events").select("event_id", T.stamp("ts").alias("stamp"), T.days_between(F.lit("2024-01-10"), F.date_format("ts", "yyyy-MM-dd")).cast("long").alias("days"), T.clock(F.col("value") * 100).alias("clock"))
 
 
 @R("""with x as (select event_id, cast(floor(value * 50) as bigint) as s from events) select event_id, case when s < 60 then s || ' second' || case when s = 1 then '' else 's' end when s < 3600 then (s // 60) || ' minute' || case when s // 60 = 1 then '' else 's' end
@@ -150,7 +150,7 @@ def reviewer_routing(spark, d):
     return df.select("conv_id", "turn", role.isin("user", "system").alias("known"), G.mode(F.when(role == "user", " ON").when(role == "assistant", "off").otherwise("?")).alias("mode"), cat.alias("category"), G.reviewer(cat, by, "boss").alias("reviewer"))
 
 
-@R("""select event_id, cast(floor(value) as bigint) as input, cast(floor(value) as bigint) + 1 as output, case when event_id % 2 = 0 then 2 else 0 end as cache_read, 0 as cache_write from events""")
+@R("""select event_id, cast(floor(value) as bigint) as input, cast(floor(value) as bigint) + 1 as output, cast(case when event_id % 2 = 0 then 2 else 0 end as bigint) as cache_read, 0::bigint as cache_write from events""")
 def token_usage(spark, d):
     v = F.floor("value").cast("long")
     one = F.concat(F.lit('{"input_tokens":'), v, F.lit(',"output_tokens":'), v + 1, F.lit("}"))
@@ -183,14 +183,14 @@ SCORED = "words as (select distinct doc_id, unnest(regexp_extract_all(lower(text
 
 
 @R(f"""with {SITES}, {TEXTS}, {VOCAB}, {SCORED}, top as (select doc_id, max(score) as score from scored group by 1), t as (select s.doc_id, s.score, count(*) as n, max(s.site) as site from scored s join top on s.doc_id = top.doc_id and s.score = top.score group by 1, 2)
-    select texts.doc_id, case when n = 1 then site end as site, score from texts left join t using (doc_id)""")
+    select texts.doc_id, case when n = 1 then site end as site, coalesce(score, 0) as score from texts left join t using (doc_id)""")
 def entity_bind_tie_null(spark, d):
-    return E.bind_sites(texts(spark, d), E.site_vocabulary(sites(spark, d), 8))
+    return E.bind_sites(texts(spark, d), E.site_vocabulary(sites(spark, d), 8)).withColumn("score", F.coalesce("score", F.lit(0)))
 
 
-@R(f"""with {SITES}, {TEXTS}, {VOCAB}, {SCORED}, r as (select *, row_number() over (partition by doc_id order by score desc, site) as place, lead(score) over (partition by doc_id order by score desc, site) as runner_up from scored) select * from r where place <= 3""")
+@R(f"""with {SITES}, {TEXTS}, {VOCAB}, {SCORED}, r as (select *, row_number() over (partition by doc_id order by score desc, site) as place, coalesce(lead(score) over (partition by doc_id order by score desc, site), 0) as runner_up from scored) select * from r where place <= 3""")
 def entity_ranked(spark, d):
-    return E.ranked_sites(texts(spark, d), E.site_vocabulary(sites(spark, d), 8))
+    return E.ranked_sites(texts(spark, d), E.site_vocabulary(sites(spark, d), 8)).withColumn("place", F.col("place").cast("long")).withColumn("runner_up", F.coalesce("runner_up", F.lit(0)))
 
 
 @R(f"""with {SITES}, {TEXTS}, {VOCAB}, w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from texts), n as (select doc_id, term, count(*) as n from w group by 1, 2) select doc_id, site, max(n) as mentions from n join vocab using (term) group by 1, 2""")
@@ -218,7 +218,7 @@ def shingle_leak_join(spark, d):
 @R(f"""with q as (select doc_id as quote_id, doc_id, {LOOSE.format("substring(text, 11, 60)")} as quote, {LOOSE.format('text')} as hay from documents) select quote_id, doc_id, strpos(hay, quote) as place from q""")
 def quotes_exact(spark, d):
     q = docs(spark, d).select(F.col("doc_id").alias("quote_id"), "doc_id", F.substring("text", 11, 60).alias("quote"))
-    return E.exact_quotes(q, docs(spark, d)).withColumnRenamed("at", "place")
+    return E.exact_quotes(q, docs(spark, d)).select("quote_id", "doc_id", F.col("at").cast("long").alias("place"))
 
 
 @R(r"""with f as (select doc_id, [case when regexp_matches(text, '(^|[^A-Za-z0-9])[0-9]+([^A-Za-z0-9]|$)') then 'number' end,

@@ -26,7 +26,7 @@ ISLANDS = """m as (select *, max("end") over (partition by k order by start, "en
 
 @R(f'with {SPANS}, {ISLANDS.format("spans")} select k, min(start) as start, max("end") as "end", count(*) as n from g group by k, g')
 def interval_union(spark, d):
-    return W.islands(spans(spark, d), ["k"], "start", "end")
+    return W.islands(spans(spark, d), ["k"], "start", "end").select("k", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n")
 
 
 @R("""with l as (select c_custkey % 40 as k, (c_custkey * 37) % 1000 as start, (c_custkey * 37) % 1000 + 5 + c_custkey % 60 as "end" from customer), h as (select s_suppkey % 40 as k, (s_suppkey * 53) % 1000 as start, (s_suppkey * 53) % 1000 + 40 as "end" from supplier),
