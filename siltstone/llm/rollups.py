@@ -26,12 +26,14 @@ SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens lo
 
 
 def deltas(changes: DataFrame) -> DataFrame:
-    """changes: kind (insert, delete, revise), source, lang, tokenizer, n_tokens, old_tokens (of a revision)."""
+    """changes: kind (insert, delete, revise), source, lang, tokenizer, n_tokens, old_tokens (of a revision), and copies, if
+    a row may stand for several equal changes."""
+    copies = F.coalesce(F.col("copies"), F.lit(1)) if "copies" in changes.columns else F.lit(1)
     n, old = F.coalesce("n_tokens", F.lit(0)), F.coalesce("old_tokens", F.lit(0))
     kind = F.col("kind")
     docs = F.when(kind == "insert", 1).when(kind == "delete", -1).when(kind == "revise", 0).otherwise(F.raise_error(F.concat(F.lit("unknown change "), F.coalesce(kind, F.lit("null")))).cast("int"))
     tokens = F.when(kind == "insert", n).when(kind == "delete", -n).otherwise(n - old)
-    return changes.groupBy(*KEYS).agg(F.sum(docs.cast("long")).alias("n_docs"), F.sum(tokens.cast("long")).alias("n_tokens"))
+    return changes.groupBy(*KEYS).agg(F.sum((docs * copies).cast("long")).alias("n_docs"), F.sum((tokens * copies).cast("long")).alias("n_tokens"))
 
 
 class Rollups:
@@ -100,18 +102,22 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def maintained(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Loads all documents, rolls out a second tokenizer, revises its counts by leaving out repeated lines of a text, and
-    withdraws all but the first of equal texts; two batches are replayed and the store is compacted between."""
+    withdraws all but the first of equal texts (of the smallest doc_id); two batches are replayed and the store is compacted between."""
     rows = saved(counted(docs), "rollup-counts")
     store = Rollups(docs.sparkSession, path)
     none = F.lit(None).cast("long").alias("old_tokens")
 
     def change(df: DataFrame, kind: str, version: str, n: str, old=none) -> DataFrame:  # noqa: ANN001
-        return df.select(F.lit(kind).alias("kind"), "source", "lang", F.lit(version).alias("tokenizer"), F.col(n).alias("n_tokens"), old)
+        return df.select(F.lit(kind).alias("kind"), "source", "lang", F.lit(version).alias("tokenizer"), F.col(n).alias("n_tokens"), old, *(["copies"] if "copies" in df.columns else []))
 
     rollout = change(rows, "insert", "words-2", "second")
     revised = rows.where("revised <> second")
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("kept"))
-    again = rows.join(first, "digest").where("doc_id <> kept")
+    # Equal texts of a source and language are counted before anything is joined by text, so a text with very many copies
+    # is a few rows by then.
+    each = rows.groupBy("digest", "source", "lang", "doc_id", "first", "revised").agg(F.count("*").alias("n"))
+    same = each.groupBy("digest", "source", "lang", "first", "revised").agg(F.sum("n").alias("n"), F.min("doc_id").alias("least"), F.min_by("n", "doc_id").alias("n_least"))
+    again = same.join(same.groupBy("digest").agg(F.min("least").alias("kept")), "digest")
+    again = again.withColumn("copies", F.col("n") - F.when(F.col("least") == F.col("kept"), F.col("n_least")).otherwise(0)).where("copies > 0")
     withdrawn = change(again, "delete", "words-1", "first").unionByName(change(again, "delete", "words-2", "revised"))
     store.commit("load", change(rows, "insert", "words-1", "first"))
     store.commit("rollout", rollout)
