@@ -22,7 +22,6 @@ from siltstone.llm.common import WHITE, WORD, saved, whole
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, EPOCHS = 1.5, 2.0
-PER_RANGE = 4_000  #: documents that a range of keys holds at most on average
 
 
 def words(text: str = "text") -> Column:
@@ -59,8 +58,8 @@ def plan(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     per = saved(per, "mix-sources")
     most = per.agg(F.max("n")).first()[0] or 0
-    digits = 1
-    while 16**digits * PER_RANGE < most:
+    digits = 1  # as many ranges of a source as documents in a range, about: neither is left to one task in great number
+    while 16 ** (2 * digits) < most:
         digits += 1
     goal = targets(per.select("source", "source_size"), weights, share, epochs)
     goal = goal.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -105,17 +104,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
     """The mix itself, with docs' columns: whole copies, and of the document at a source's cut its first words (joined by spaces)."""
-    sized = docs.withColumns({"size": words(), "key": random_key()})
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # whatever the columns are called
+    sized = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), "source", "text", words().alias("size"), random_key().alias("key"))
     _, found = measured_and_planned(sized, weights, share, epochs)
     df = sized.join(found, sized.source.eqNullSafe(found.plan_source)).withColumn("part", part_taken())
     cut_text = F.array_join(F.slice(F.filter(F.split("text", WHITE + "+"), lambda x: x != ""), 1, F.greatest(F.col("part").cast("int"), F.lit(1))), " ")
     copies = F.array_repeat(F.lit(False), F.col("times").cast("int"))
     copies = F.when(F.col("part") > 0, F.concat(copies, F.array(F.col("part") < F.col("size")))).otherwise(copies)
-    df = df.where("size > 0").withColumn("is_cut", F.explode(copies))
-    df = df.withColumn("text", F.when(F.col("is_cut"), cut_text).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("is_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+    df = df.where("size > 0").withColumn("is_cut", F.explode(copies)).withColumn("cut_text", F.when(F.col("is_cut"), cut_text))
+    new = {"text": F.col("cut_text"), "n_chars": F.length("cut_text")}
+    old = {f.name: F.col("row")[f.name] for f in docs.schema}
+    return df.select(*(F.when(F.col("is_cut"), new[f.name].cast(f.dataType)).otherwise(old[f.name]).alias(f.name) if f.name in new else old[f.name].alias(f.name) for f in docs.schema))
 
 
 ORACLE = r"""
