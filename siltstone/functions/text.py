@@ -32,7 +32,7 @@ def count_words(text: C) -> Column:
 
 def distinct_word_ratio(text: C) -> Column:
     """C20: distinct words over words, edge punctuation and case aside; 1 for an empty text."""
-    w = F.transform(spoken_words(text), lambda x: F.lower(F.regexp_replace(x, r"""^[.,;:!?"'()\[\]]+|[.,;:!?"'()\[\]]+$""", "")))
+    w = F.transform(spoken_words(text), lambda x: F.lower(F.trim(x, F.lit(""".,;:!?"'()[]"""))))
     return F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(1.0))
 
 

@@ -265,8 +265,11 @@ def spend(calls: DataFrame, prices: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def overview(holds: DataFrame) -> DataFrame:
     """Counts by reviewer, site, category and as a whole."""
-    agg = [F.count("*").alias("n"), F.countDistinct("item_id").alias("recordings"), F.min("held_at").alias("oldest")]
-    return holds.groupingSets([["reviewer"], ["site"], ["category"], ["decision"], []], "reviewer", "site", "category", "decision").agg(*agg, F.grouping_id().cast("int").alias("level"))
+    # The oldest moment is found as a number: a smallest string would make Spark sort instead of hash.
+    holds = holds.withColumn("_at", F.unix_timestamp(F.to_timestamp("held_at")))
+    agg = [F.count("*").alias("n"), F.countDistinct("item_id").alias("recordings"), F.min("_at").alias("_at"), F.grouping_id().cast("int").alias("level")]
+    df = holds.groupingSets([["reviewer"], ["site"], ["category"], ["decision"], []], "reviewer", "site", "category", "decision").agg(*agg)
+    return df.withColumn("oldest", F.date_format(F.timestamp_seconds("_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).drop("_at")
 
 
 def decisions_by_day(holds: DataFrame) -> DataFrame:
