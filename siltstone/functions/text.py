@@ -72,12 +72,13 @@ REMOVED = "[address removed]"
 
 def contains_email(text: C) -> Column:
     """I12."""
-    return F.coalesce(_c(text).rlike(EMAIL), F.lit(False))
+    return F.coalesce(_c(text).rlike(AT) & _c(text).rlike(EMAIL), F.lit(False))
 
 
 def strip_emails(text: C, mark: str = REMOVED) -> Column:
-    """I10, I73."""
-    return F.regexp_replace(F.coalesce(_c(text), F.lit("")), EMAIL, mark)
+    """I10, I73.  Texts without any sign for @, nearly all, are not searched further."""
+    t = F.coalesce(_c(text), F.lit(""))
+    return F.when(t.rlike(AT), F.regexp_replace(t, EMAIL, mark)).otherwise(t)
 
 
 def contains_dictated(text: C) -> Column:
