@@ -55,6 +55,21 @@ def test_outliers_go_and_ordinary_texts_stay(spark):
     assert all(not r.kept for r in quality.judged(df.limit(3).withColumn("text", F.lit(None).cast("string"))).collect())
 
 
+def test_repeated_lines_or_words_alone_make_an_outlier(spark):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
+    line = lambda n: " ".join(rng.choices(vocab, k=n))
+    lines = lambda n: [line(8) for _ in range(n)]
+    good = [(k, "\n".join(lines(rng.randint(10, 40))), "en", "s") for k in range(300)]
+    # Every other line is the same single word, which is in no window of three words that comes again.
+    dup = [(1000 + k, "\n".join(x for y in lines(14) for x in (y, "more")), "en", "s") for k in range(5)]
+    again = [(2000 + k, "\n".join([*lines(13), " ".join([line(5)] * 14)]), "en", "s") for k in range(5)]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(good + dup + again, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(got[k].kept for k in range(300)) >= 294
+    assert all(not got[k].base_failed and got[k].n_repeat_words < 10 and got[k].n_dup_lines == 13 and not got[k].kept for k in range(1000, 1005))
+    assert all(not got[k].base_failed and got[k].n_dup_lines == 0 and not got[k].kept for k in range(2000, 2005))
+
+
 # --- 3 --------------------------------------------------------------------------------------------------------------
 
 BASE = (("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32))
