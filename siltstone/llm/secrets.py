@@ -40,12 +40,23 @@ class Rule:
     at_least: int = 0  # code points of that part; shorter matches are dropped
 
 
+#: A private key from BEGIN through END, whatever lies between them but another BEGIN or END.  Where that END is missing: the
+#: header and the key lines after it, real line breaks or written as \\n, quoted or indented; a run of 16 or more is a key's,
+#: a shorter one only if it is padded or has its line to itself.
+_KEY_NAME = r"[A-Z0-9 ]*PRIVATE\x20KEY(?:\x20BLOCK)?-----"
+_KEY_TO_END = rf"(?:[^-]++|-(?!----(?:BEGIN|END)\x20))*+-----END\x20{_KEY_NAME}"
+_KEY_BREAK = r"(?:\r\n|[\r\n]|\\r\\n|\\[rn])"
+_KEY_FIELD = rf"{_KEY_BREAK}[ \t>|#*\"']*(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):(?:(?!\\[rn])[^\r\n])*+"
+_KEY_LONG = r"(?:\\[rnt]|[\s\"'`>|#*,;\\]|\+(?=\s))*+(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]{1,15}={1,2}(?![^\s\"'\\]))"
+_KEY_SHORT = rf"{_KEY_BREAK}[ \t>|#*\"']*=?[A-Za-z0-9+/]{{1,15}}={{0,2}}(?=[ \t\"']*(?:[\r\n]|\\[rn]|\Z))"
+_PRIVATE_KEY = rf"-----BEGIN\x20{_KEY_NAME}(?:{_KEY_TO_END}|(?:{_KEY_FIELD})*+(?:{_KEY_LONG}|{_KEY_SHORT})*+)"
+
 #: The first three fix the base spans; the others add spans of published token formats.
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}"),  # the runs of [0-9a-f]+ that have 32 or more
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _PRIVATE_KEY),
     Rule("git_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
