@@ -62,7 +62,8 @@ RULES = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("map_key", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("pay_key", r"[sr]k_live_[0-9A-Za-z]{16,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    # The scheme is the whole run before ://, so each run is read once; user and password end at signs they can't hold.
+    Rule("url_login", r"(?<![a-z0-9+.-])[a-z0-9+.-]++://[^\s/:@]*+:[^\s/:@]++@"),
 )
 BASE = ("assign", "access", "hex")
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL, rows
 from pyspark.sql import functions as F
@@ -152,6 +153,12 @@ def test_redaction_leaves_no_key_body(spark):
     assert all(("private_key", len(a), len(a + key)) in {tuple(x) for x in spans[k]} for k, (a, key, *_) in enumerate(cases))
 
 
+@pytest.mark.parametrize("login", ["redis://:pw@", "https://bob:" + "aB3_" * 60 + "@", "postgres://" + "u" * 200 + ":hunter2@", "x" * 30 + "+ssl://bob:hunter2@", "amqp://a:b@"])
+def test_logins_of_any_length(login):
+    (spans,) = [s for _, block in secrets.Scanner(secrets.RULES).texts(pa.array([f"at {login}host/path, and ftp://host:21 not"])) for s in block]
+    assert [(s, e) for s, e, kind in spans if kind == "url_login"] == [(3, 3 + len(login))]
+
+
 # --- 7 --------------------------------------------------------------------------------------------------------------
 
 
