@@ -4,6 +4,7 @@ A page is cut into blocks at block-level tags.  The first pass classifies each b
 header, footer, sidebar, notice, advert, form or comment section is out; link density, length and stop-word density make
 other blocks good, bad, or leave them open (near or short).  In the second pass an open block inherits the label of its
 nearest decided neighbours.  Blocks within an article are never bad for want of stop words.
+The text of math is kept; elements in DROPPED, and options, are left out whole.
 
 Defined results: a null or empty html gives an empty text; a page cut off anywhere, unclosed tags and stray markup are
 read as far as they go; a row comes back for every row, repeats included; other columns are not read.
@@ -33,7 +34,7 @@ STOP = frozenset(
     el los las y del al lo que se por con una su para es no como más o pero sus le ya este sí porque esta entre cuando muy sin sobre""".split()
 )
 #: Elements without readable text, block-level elements, and containers that hold no article.
-DROPPED = "script style noscript template iframe svg math object canvas audio video textarea select option button title".split()
+DROPPED = "script style noscript template iframe svg object canvas audio video textarea select button title".split()
 BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main blockquote pre figure figcaption header footer nav aside form fieldset legend address hr details summary body html head center menu dialog".split())
 CONTAINERS = frozenset("div section article main header footer nav aside form ul ol dl table td th li blockquote figure details menu dialog fieldset body".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog".split())
@@ -45,8 +46,12 @@ _BAD = re.compile(
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main)(?:-?(?:body|content|text))?(?:$|[\s_-])", re.I)
 _ROLE_BAD = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_END = r"(?=[\s/>])"  # of a tag's name: <svg-icon> is no svg
+_QUOTED = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
+#: An option's end tag may be left out: it ends at the next option, the end of its list, or a block.
+_OPTION = rf"<(option){_END}[^>]*+>(?:[^<]++|<(?!/?(?:option|optgroup|select|datalist|" + "|".join(sorted(BLOCKS)) + rf"){_END}))*+(?:</option{_END}[^>]*+>)?"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(" + "|".join(DROPPED) + r")\b[^>]*+>.*?(?:</\1\s*>|$)"
+    rf"<!--.*?(?:-->|$)|<svg{_END}{_QUOTED}(?<=/)>|<(" + "|".join(DROPPED) + rf"){_END}[^>]*+>.*?(?:</\1{_END}[^>]*+>|$)|{_OPTION}"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|<[!?][^>]*+>|</?[a-zA-Z][^>]*+$""",
     re.I | re.S,
 )
@@ -113,14 +118,14 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at:
             say(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[4] or m[7] or "").lower()
         if not tag:
-            if m[1] and m[1].lower() in ("title", "option"):
+            if m[2] or m[1] and m[1].lower() == "title":
                 end()
             elif m[0].startswith("</") or m[1]:
                 parts.append(" " if m[1] else "")
             continue
-        closing, raw = bool(m[2] or m[5]), m[4] or m[7] or ""
+        closing, raw = bool(m[3] or m[6]), m[5] or m[8] or ""
         if tag == "a":
             links = max(0, links - 1) if closing else 1
             continue

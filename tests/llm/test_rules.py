@@ -230,6 +230,17 @@ def test_plain_pages_by_density():
     assert htmltext.main_text(good) == f"{LONG.strip()}\nshort between\n{LONG.strip()}"
 
 
+@pytest.mark.parametrize("odd", ["<svg-icon name=x></svg-icon>", "<video-player>", "<button-group></button-group>", "<title-bar/>", "<option-x>", "<svg class=a/>", '<svg data-x="a>b" />', "<SVG/>", "<math/>", "<svg><path/></svg >", "<script>x</script x>", "<datalist><option value=a>A<option>B</datalist>", "<p><option>A"])
+def test_odd_tags_take_no_text_with_them(odd):
+    body = LONG.strip()
+    assert htmltext.main_text(f"<body><article><p>{LONG}</p>{odd}<p>{LONG}</p></article></body>") == f"{body}\n{body}"
+
+
+def test_math_in_an_article_is_text():
+    page = f"<article><p>{LONG}</p><p>The square is <math><msup><mi>x</mi><mn>2</mn></msup><mo>+</mo><mi>y</mi></math> in all of the town.</p><p>{LONG}</p></article>"
+    assert htmltext.main_text(page) == f"{LONG.strip()}\nThe square is x2+y in all of the town.\n{LONG.strip()}"
+
+
 def test_extract_as_a_query(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     got = htmltext.extract(df).collect()
