@@ -8,7 +8,9 @@ Mahalanobis distance passes the chi-squared quantile for one in ALPHA.
 
 Sums are additive, so a source with a third of all rows is pre-aggregated in every task; quantiles come from mergeable
 sketches.  Each variance gets a floor (FLOORS), without which statistics that are zero nearly everywhere would make any
-other value an outlier.  Groups with fewer than LEAST_ROWS usable rows use the estimate over all rows.
+other value an outlier.  Each group's estimate is drawn toward the one over all rows, as if OVERALL rows of that had been
+among its own: nothing turns at a size, and a group of a few rows is judged about its own centre.  Only rows of a group
+without usable rows get their distance by the estimate over all.
 
 Defined results: a null or wordless text has zeros everywhere and fails the base rules; null languages or sources form
 groups of their own; repeated rows count each time; a null doc_id is kept as it is.  Other columns are not read.
@@ -28,7 +30,7 @@ from siltstone.llm.common import WHITE, saved, whole
 #: passes the limit from about 29 % of lines or words that repeat, where a group has none.
 FLOORS = {"f_length": 0.5, "f_word": 0.12, "f_symbols": 0.08, "f_lines": 0.15, "f_repeats": 0.15}
 ALPHA = 40.0
-SHARE, STEPS, LEAST_ROWS = 0.75, 3, 100
+SHARE, STEPS = 0.75, 3
 _SPACE = " \t\n\x0b\f\r"
 
 
@@ -92,6 +94,7 @@ def chi2_quantile(p: float, k: int) -> float:
 
 
 _P = len(FLOORS)
+OVERALL = _P + 1.0
 _NAMES = list(FLOORS)
 
 
@@ -124,14 +127,24 @@ def _factor(df: DataFrame, scale: float) -> DataFrame:
     return df.select(*kept, logdet.alias("logdet"))
 
 
-def _moments(rows: DataFrame, scale: float) -> DataFrame:
-    """Mean and factored covariance of the rows of each grp and start."""
+def _moments(rows: DataFrame) -> DataFrame:
+    """Mean and covariance of the rows of each grp and start."""
     sums = [F.count("*").alias("n"), *(F.sum(f).alias(f"s{i}") for i, f in enumerate(_NAMES))]
     sums += [F.sum(F.col(_NAMES[i]) * F.col(_NAMES[j])).alias(f"q{i}{j}") for i in range(_P) for j in range(i + 1)]
     df = rows.groupBy("grp", "start").agg(*sums)
     df = df.withColumns({f"mu{i}": F.col(f"s{i}") / F.col("n") for i in range(_P)})
-    df = df.withColumns({f"c{i}{j}": F.col(f"q{i}{j}") / F.col("n") - F.col(f"mu{i}") * F.col(f"mu{j}") for i in range(_P) for j in range(i + 1)})
-    return _factor(df, scale)
+    return df.withColumns({f"c{i}{j}": F.col(f"q{i}{j}") / F.col("n") - F.col(f"mu{i}") * F.col(f"mu{j}") for i in range(_P) for j in range(i + 1)})
+
+
+def _drawn(found: DataFrame) -> DataFrame:
+    """found: grp, n, mu_i, c_ij.  Mean and covariance of n rows of a group's and OVERALL rows of the estimate over all."""
+    pairs = [(i, j) for i in range(_P) for j in range(i + 1)]
+    every = found.where("grp = '*'").select(*(F.col(f"mu{i}").alias(f"amu{i}") for i in range(_P)), *(F.col(f"c{i}{j}").alias(f"ac{i}{j}") for i, j in pairs))
+    own = F.col("n") / (F.col("n") + OVERALL)
+    off = [F.col(f"amu{i}") - F.col(f"mu{i}") for i in range(_P)]
+    drawn = {f"c{i}{j}": own * F.col(f"c{i}{j}") + (1 - own) * F.col(f"ac{i}{j}") + own * (1 - own) * off[i] * off[j] for i, j in pairs}
+    drawn |= {f"mu{i}": F.col(f"mu{i}") + (1 - own) * off[i] for i in range(_P)}
+    return found.crossJoin(F.broadcast(every)).withColumns(drawn)
 
 
 def estimates(features: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
@@ -155,20 +168,19 @@ def estimates(features: DataFrame, share: float = SHARE, steps: int = STEPS) ->
         radius = far.groupBy("grp", "start").agg(F.percentile_approx("d2", take, 1000).alias("r"))
         radius = saved(radius.select("grp", "start", F.element_at("r", F.col("start") + 1).alias("r")), "mcd-radius")
         near = far.select("grp", "start", "d2", *_NAMES).join(radius, ["grp", "start"]).where("d2 <= r")
-        now = saved(_moments(near, consistency(share)), "mcd-step")
+        now = saved(_factor(_moments(near), consistency(share)), "mcd-step")
     best = now.groupBy("grp").agg(F.min_by(F.struct("start", *(c for c in now.columns if c[0] in "ml")), F.struct("logdet", "start")).alias("b"))
     best = saved(best.select("grp", "b.*"), "mcd-best")
     near = rows.join(best, "grp").where(_distance() <= chi2_quantile(0.975, _P)).select("grp", "start", *_NAMES)
-    last = _moments(near, consistency(0.975)).drop("start", "n", "logdet")
-    return saved(med.select("grp", "n").join(last, "grp"), "mcd-estimates")
+    last = saved(med.select("grp", "n").join(_moments(near).drop("n"), "grp"), "mcd-last")
+    return saved(_factor(_drawn(last), consistency(0.975)).drop("start", "logdet"), "mcd-estimates")
 
 
 def judged(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_words, the base statistics, base_failed, kept, distance (squared; null without an estimate)."""
     features = saved(with_features(base_statistics(docs)), "quality-features")
     found = estimates(features)
-    enough = found.where((F.col("n") >= LEAST_ROWS) | (F.col("grp") == "*"))
-    own = features.join(enough.select("grp", "n").withColumnRenamed("n", "has"), features.own == F.col("grp"), "left")
+    own = features.join(found.select("grp", F.col("n").alias("has")), features.own == F.col("grp"), "left")
     own = own.drop("grp").withColumn("use", F.when(F.col("has").isNull(), F.lit("*")).otherwise(F.col("own")))
     df = own.join(found, own.use == found.grp, "left").withColumn("distance", _distance())
     limit = chi2_quantile(1 - 1 / alpha, _P)

@@ -71,6 +71,17 @@ def test_repeated_lines_or_words_alone_make_an_outlier(spark):
     assert all(not got[k].base_failed and got[k].n_dup_lines == 0 and not got[k].kept for k in range(2000, 2005))
 
 
+def test_small_groups_are_judged_about_their_own_centre(spark):
+    rng = random.Random(6)
+    text = lambda low, high: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(low, high))) for _ in range(rng.randint(100, 300)))
+    hot = [(k, text(2, 9), "en", "hot") for k in range(400)]
+    small = [(1000 + 100 * n + k, text(14, 20), "en", f"small{n}") for n in (6, 12, 99) for k in range(n)]
+    odd = (9000, text(2, 3), "en", "small99")
+    got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame([*hot, *small, odd], "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[k] for k, *_ in small) and not got[9000]
+    assert sum(got[k] for k, *_ in hot) >= 394
+
+
 # --- 3 --------------------------------------------------------------------------------------------------------------
 
 BASE = (("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32))
