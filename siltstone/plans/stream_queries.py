@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import ledger as L
 from siltstone.plans.registry import Registry
 from siltstone.session import new_path, on_executors, table
-from siltstone.sources.adapter import LOG, log
+from siltstone.sources.adapter import KINDS, LOG, iso, log
 from siltstone.sources.sinks import append_batch, read_batches
 from siltstone.streaming import ingest as I
 
@@ -20,18 +20,25 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on_executors(spark).readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def to_end(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there.  Complete results replace each other, others are kept by batch."""
+def to_end(df: DataFrame, path: str, mode: str = "append", cursors: int = 1) -> DataFrame:
+    """Runs a stream over all that is there, once for each cursor.  Complete results replace each other, others are kept by
+    cursor and batch."""
     spark, schema = df.sparkSession, df.schema
 
     def keep(batch: DataFrame, n: int) -> None:
         append_batch(batch, path, "all", 0 if mode == "complete" else n)
 
-    df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    for k in range(cursors):
+        df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}-state-{k}").trigger(availableNow=True).start().awaitTermination()
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return read_batches(spark, path, ddl).select(*schema.names)
 
 
+def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("event_type"))
+    return event_stream(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("user_id").alias("item_id"), iso("ts").alias("moment"), kind.alias("kind"))
+
+
 @R("select strftime(ts, '%Y-%m-%d') as day, event_type as kind, count(*) as n from events group by 1, 2")
 def stream_day_cohorts(spark, d):
     events = event_stream(spark, d).select("ts", F.col("event_type").alias("kind"))
@@ -41,11 +48,13 @@ def stream_day_cohorts(spark, d):
 @R(f"with {LOG} select item_id, arg_max(kind, (moment, id)) as kind, min(moment) as first_at, max(moment) as last_at, count(*) as seen_count from log group by item_id")
 def stream_ingest_fold(spark, d):
     """The log as it comes in, appended batch by batch and folded to the items' state."""
-    from siltstone.sources.adapter import KINDS, iso
+    return L.latest_state(to_end(log_stream(spark, d), new_path(spark, "stream-log")))
 
-    kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("event_type"))
-    rows = event_stream(spark, d).select(F.col("event_id").alias("id"), F.col("user_id").alias("item_id"), iso("ts").alias("moment"), kind.alias("kind"))
-    return L.latest_state(to_end(rows, new_path(spark, "stream-log")))
+
+@R(f"with {LOG} select item_id, arg_max(kind, (moment, id)) as kind, min(moment) as first_at, max(moment) as last_at, 2 * count(*) as seen_count from log group by item_id")
+def stream_resync_fold(spark, d):
+    """The same log read twice, the second time from another cursor as after a resync: nothing of the first is overwritten."""
+    return L.latest_state(to_end(log_stream(spark, d), new_path(spark, "stream-resync"), cursors=2))
 
 
 def requests_of(df: DataFrame) -> DataFrame:

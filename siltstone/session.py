@@ -46,13 +46,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a local master, whose executors are the
+    driver itself, may do without it; elsewhere each executor would write to a disk of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="siltstone-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at  # noqa: SLF001
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the application's folder of the shared one, which goes when the driver's process ends."""
+    home = f"{shared_dir(spark)}/siltstone-{spark.sparkContext.applicationId}"
+    fs, at = _hadoop(spark, home)
+    if not fs.exists(at):
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes intermediate tables that nothing reads any more."""
+    for path in paths:
+        fs, at = _hadoop(spark, path)
+        fs.delete(at, True)

@@ -6,10 +6,17 @@ micro-batch, and the checkpoint is the cursor: it moves only once a batch has be
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from siltstone.sources.sinks import _fs
+
+#: What Spark says of a checkpoint that it can't go on from.
+EXPIRED = re.compile(r"(?i)checkpoint|offset|OFFSET_LOG|incomplete log|malformed log|metadata")
+
 ITEM = "id string, name string, size long, eTag string, cTag string, file struct<mimeType:string,hashes:struct<sha256Hash:string,quickXorHash:string,sha1Hash:string>>, folder struct<childCount:int>, package struct<type:string>, deleted struct<state:string>, pendingOperations struct<pendingContentUpdate:struct<queuedDateTime:string>>, parentReference struct<id:string>, createdDateTime string, lastModifiedDateTime string, webUrl string"
 PAGE = f"items array<struct<{', '.join(x.replace(' ', ': ', 1) for x in ITEM.split(', '))}>>, cursor string, is_final boolean"
 
@@ -21,7 +28,7 @@ def flattened(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode("items").alias("item"), "cursor").select(
         i["id"].alias("item_id"), i["name"].alias("name"), i["size"].alias("size"), i["parentReference"]["id"].alias("parent_id"), i["cTag"].alias("ctag"),
         F.coalesce(hashes["sha256Hash"], hashes["quickXorHash"], hashes["sha1Hash"]).alias("hash"), i["file"]["mimeType"].alias("mime"), i["folder"].isNotNull().alias("is_folder"),
-        i["deleted"].isNotNull().alias("deleted"), i["pendingOperations"].isNotNull().alias("pending"), i["createdDateTime"].alias("created_at"), i["lastModifiedDateTime"].alias("modified_at"), "cursor",
+        i["deleted"].isNotNull().alias("deleted"), i["pendingOperations"].isNotNull().alias("pending"), i["createdDateTime"].alias("created_at"), i["lastModifiedDateTime"].alias("modified_at"), F.col("cursor").alias("page_cursor"),
     )
 
 
@@ -40,24 +47,78 @@ def wanted(items: DataFrame, own: DataFrame) -> DataFrame:
     return items.where("item_id is not null and not is_folder").join(own.select("item_id"), "item_id", "left_anti")
 
 
-def checkpoint_of(base: str, route: str, source_id: str, name: str = "delta") -> str:
-    """A cursor belongs to a folder; another folder, or a resync, begins at another checkpoint."""
+def checkpoint_of(base: str, route: str, source_id: str, name: str = "delta", resyncs: int = 0) -> str:
+    """A cursor belongs to a folder; another folder, or a resync, begins at another checkpoint.  What either has
+    written stays: batches are named by their checkpoint (sinks.cursor_folder)."""
     import hashlib
 
-    return f"{base.rstrip('/')}/{name}/{route}/{hashlib.sha256(source_id.encode()).hexdigest()[:16]}"
+    return f"{base.rstrip('/')}/{name}/{route}/{hashlib.sha256(source_id.encode()).hexdigest()[:16]}" + (f"-{resyncs}" if resyncs else "")
+
+
+class Cursors:
+    """Where each route's cursor is.  A reset only ever goes back, to the beginning, and says why."""
+
+    def __init__(self, spark: SparkSession, base: str, name: str = "delta"):
+        self.spark, self.base, self.name = spark, base.rstrip("/"), name
+
+    def _resets(self, route: str, source_id: str) -> list[str]:
+        fs, at = _fs(self.spark, self.base)
+        home = at(checkpoint_of(self.base, route, source_id, self.name) + "-resets")
+        return sorted(x.getPath().getName() for x in fs.listStatus(home)) if fs.exists(home) else []
+
+    def of(self, route: str, source_id: str) -> str:
+        return checkpoint_of(self.base, route, source_id, self.name, len(self._resets(route, source_id)))
+
+    def reset(self, route: str, source_id: str, reason: str) -> str:
+        """The checkpoint from which the route is read anew.  The mark is a folder that can be made only once, so of two
+        resets at one time there is one."""
+        if not reason.strip():
+            raise ValueError("a reset needs a reason")
+        n = len(self._resets(route, source_id)) + 1
+        fs, at = _fs(self.spark, self.base)
+        mark = at(checkpoint_of(self.base, route, source_id, self.name) + f"-resets/{n:06d}")
+        out = fs.create(mark, False)
+        out.write(bytearray(reason.encode()))
+        out.close()
+        return self.of(route, source_id)
 
+    def reasons(self, route: str, source_id: str) -> list[str]:
+        home = checkpoint_of(self.base, route, source_id, self.name) + "-resets"
+        names = self._resets(route, source_id)
+        rows = self.spark.read.option("wholetext", "true").text([f"{home}/{n}" for n in names]).select("value", F.input_file_name().alias("f")).orderBy("f").collect() if names else []
+        return [r.value for r in rows]  # a row a reset
 
-def poll(spark: SparkSession, sources: dict[str, DataFrame], handle, checkpoints: dict[str, str]) -> dict[str, str]:  # noqa: ANN001
-    """One pass over every route; a route that fails does not stop the others.  Returns what went wrong by route."""
+
+def poll(spark: SparkSession, sources: dict[str, DataFrame], handle, checkpoints: dict[str, str], expired=None) -> dict[str, str]:  # noqa: ANN001
+    """One pass over every route; a route that fails does not stop the others.  Returns what went wrong by route.
+
+    expired(route, reason): called where a cursor is of no use any more (its checkpoint can't be read, A2); the checkpoint
+    that it returns is then tried once, from the beginning."""
     wrong: dict[str, str] = {}
-    running: dict[str, StreamingQuery] = {}
-    for route, df in sources.items():
-        running[route] = df.writeStream.foreachBatch(lambda batch, n, route=route: handle(batch, n, route)).option("checkpointLocation", checkpoints[route]).trigger(availableNow=True).start()
-    for route, query in running.items():
+
+    def start(route: str) -> StreamingQuery:
+        return sources[route].writeStream.foreachBatch(lambda batch, n, route=route: handle(batch, n, route)).option("checkpointLocation", checkpoints[route]).trigger(availableNow=True).start()
+
+    def outcome(route: str, query: StreamingQuery | None) -> str | None:
         try:
-            query.awaitTermination()
+            (query or start(route)).awaitTermination()
         except Exception as e:  # noqa: BLE001  each route's failure is its own result
-            wrong[route] = str(e).splitlines()[0]
+            return str(e).splitlines()[0] or type(e).__name__
+        return None
+
+    running: dict[str, StreamingQuery | None] = {}
+    for route in sources:
+        try:
+            running[route] = start(route)
+        except Exception:  # noqa: BLE001  tried again below, where its failure is recorded
+            running[route] = None
+    for route, query in running.items():
+        said = outcome(route, query)
+        if said and expired and EXPIRED.search(said):
+            checkpoints = checkpoints | {route: expired(route, said)}
+            said = outcome(route, None)
+        if said:
+            wrong[route] = said
     return wrong
 
 

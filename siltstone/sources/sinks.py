@@ -8,18 +8,36 @@ from pyspark.sql import functions as F
 ENVELOPE = ("item_id", "kind", "title", "body", "occurred_at", "author", "site", "route", "source_name", "version")
 
 
-def append_batch(df: DataFrame, path: str, route: str, batch_id: int) -> None:
-    """One micro-batch of a route; a replay of it overwrites its own folder, so rows never come twice."""
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/route={route}/batch={batch_id}")
+def _fs(spark: SparkSession, path: str):  # noqa: ANN202
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs  # noqa: SLF001
+    return hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop.Path  # noqa: SLF001
 
 
-def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, route string, batch long").parquet(path)
+def cursor_folder(spark: SparkSession, path: str, route: str) -> str:
+    """The name under which the running stream's cursor writes: the checkpoint's own id after a number that grows.
 
+    Batch numbers begin anew with each checkpoint (another source folder, a resync), so they name a batch only together with
+    it.  The id lies in the checkpoint and survives restarts: a replay finds its folder again.  Outside a stream: one cursor."""
+    own = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if own is None:
+        return "00000000"
+    fs, at = _fs(spark, path)
+    home = at(f"{path.rstrip('/')}/route={route}")
+    have = [x.getPath().getName().removeprefix("cursor=") for x in fs.listStatus(home)] if fs.exists(home) else []
+    mine = [x for x in have if x.endswith(own)]
+    return min(mine) if mine else f"{1 + max((int(x[:8]) for x in have if x[:8].isdigit()), default=0):08d}-{own}"
 
-def _fs(spark: SparkSession, path: str):  # noqa: ANN202
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs  # noqa: SLF001
-    return hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop.Path  # noqa: SLF001
+
+def append_batch(df: DataFrame, path: str, route: str, batch_id: int) -> None:
+    """One micro-batch of a route's cursor; a replay of it overwrites its own folder, so rows never come twice, and
+    no other cursor's batch of the same number is touched."""
+    cursor = cursor_folder(df.sparkSession, path, route)
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/route={route}/cursor={cursor}/batch={batch_id}")
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all batches with route, cursor and batch; cursors order as strings in the order in which they began."""
+    return spark.read.schema(f"{schema}, route string, cursor string, batch long").parquet(path)
 
 
 def publish(files: DataFrame, path: str, expected: int = 3) -> None:

@@ -25,16 +25,16 @@ def ingest(feed: DataFrame, path: str, route: str, checkpoint: str, own: DataFra
 
 def current(observations: DataFrame) -> DataFrame:
     """B2: the items as they are now.  A deletion is remembered by its first sight and never undone; an erased item stays erased."""
-    o = F.struct("batch", F.coalesce("modified_at", F.lit("")))
+    o = F.struct("cursor", "batch", F.coalesce("modified_at", F.lit("")))
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), o)).alias(c) for c in ("name", "size", "hash", "mime", "ctag", "parent_id", "created_at")]
-    return observations.groupBy("item_id", "route").agg(*last, F.min(F.when(F.col("deleted"), F.col("batch"))).alias("deleted_in"), F.count("*").alias("seen_count"))
+    return observations.groupBy("item_id", "route").agg(*last, F.min(F.when(F.col("deleted"), F.struct("cursor", "batch")))["batch"].alias("deleted_in"), F.count("*").alias("seen_count"))
 
 
 def changes(observations: DataFrame) -> DataFrame:
     """B2's events: content of an item that changed between two looks."""
-    w = Window.partitionBy("item_id").orderBy("batch", "modified_at")
+    w = Window.partitionBy("item_id").orderBy("cursor", "batch", "modified_at")
     before = F.lag("hash").over(w)
-    return observations.withColumn("before", before).where("before is not null and hash is not null and before <> hash").select("item_id", "batch", "before", "hash")
+    return observations.withColumn("before", before).where("before is not null and hash is not null and before <> hash").select("item_id", "cursor", "batch", "before", "hash")
 
 
 LEASE_STATE = "owner string, until double, attempts long, retry_at double, done boolean"

@@ -1,6 +1,8 @@
 import json
 import struct
 
+import pytest
+
 from siltstone.sources import feed, media, sinks
 
 
@@ -72,6 +74,55 @@ def test_feed_stream_is_exactly_once(spark, tmp_path):
     assert now["i1"].hash == "s1" and now["i1"].seen_count == 2 and now["i2"].deleted_in == 1 and now["i2"].hash == "q2" and now["i1"].deleted_in is None
 
 
+def log_schema(spark, src):
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in feed.scan(spark, str(src)).schema)
+
+
+def test_a_moved_or_reset_cursor_loses_nothing(spark, tmp_path):
+    """Two source folders, a resync of the second, and a replay: the log is appended to and never overwritten."""
+    from siltstone.streaming.ingest import current, ingest
+
+    one, two, log, base = tmp_path / "one", tmp_path / "two", str(tmp_path / "log"), str(tmp_path / "state")
+    one.mkdir(), two.mkdir()
+    cursors = feed.Cursors(spark, base)
+    write_page(one, 1, [item(1), item(2)])
+    write_page(two, 1, [item(7), item(1, file={"mimeType": "audio/mp4", "hashes": {"sha256Hash": "new"}})])
+    for src in (one, two, two):  # the last run is a replay that finds nothing new
+        ingest(feed.stream(spark, str(src)), log, "r", cursors.of("r", str(src))).awaitTermination()
+    ids = lambda: sorted(r.item_id for r in sinks.read_batches(spark, log, log_schema(spark, one)).collect())
+    assert ids() == ["i1", "i1", "i2", "i7"]
+    with pytest.raises(ValueError):
+        cursors.reset("r", str(two), " ")
+    before = cursors.of("r", str(two))
+    after = cursors.reset("r", str(two), "listing was incomplete")
+    assert after != before and cursors.of("r", str(two)) == after and cursors.of("r", str(one)) != after
+    assert cursors.reasons("r", str(two)) == ["listing was incomplete"]
+    write_page(two, 2, [item(7, deleted={"state": "x"})])
+    ingest(feed.stream(spark, str(two)), log, "r", after).awaitTermination()
+    assert ids() == ["i1", "i1", "i1", "i2", "i7", "i7", "i7"]
+    rows = sinks.read_batches(spark, log, log_schema(spark, one))
+    now = {r.item_id: r for r in current(rows).collect()}
+    # batch 0 of the second folder is later than batch 0 of the first, whatever their numbers
+    assert now["i1"].hash == "new" and now["i1"].seen_count == 3 and now["i7"].deleted_in is not None and now["i2"].deleted_in is None
+    assert rows.select("cursor").distinct().count() == 3
+
+
+def test_a_torn_checkpoint_is_left_behind(spark, tmp_path):
+    src, log, base = tmp_path / "feed", str(tmp_path / "log"), str(tmp_path / "state")
+    src.mkdir()
+    write_page(src, 1, [item(1), item(2)])
+    cursors = feed.Cursors(spark, base)
+    run = lambda: feed.poll(spark, {"r": feed.stream(spark, str(src))}, lambda b, n, route: sinks.append_batch(b, log, route, n), {"r": cursors.of("r", "s")}, lambda route, why: cursors.reset(route, "s", why))
+    assert run() == {}
+    (tmp_path / "state" / "delta" / "r").joinpath(cursors.of("r", "s").rsplit("/", 1)[1], "offsets", "0").write_text("torn")
+    for crc in (tmp_path / "state").rglob(".0.crc"):
+        crc.unlink()
+    write_page(src, 2, [item(3)])
+    assert run() == {} and len(cursors.reasons("r", "s")) == 1
+    ids = [r.item_id for r in sinks.read_batches(spark, log, log_schema(spark, src)).collect()]
+    assert sorted(ids) == ["i1", "i1", "i2", "i2", "i3"]  # read anew from the beginning, beside what was there
+
+
 def test_failed_batch_is_replayed_without_doubles(spark, tmp_path):
     import pytest
 
