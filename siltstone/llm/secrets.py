@@ -303,13 +303,16 @@ def find(docs: DataFrame, path: str, rules: tuple[Rule, ...]) -> DataFrame:
     """doc_id and spans of the documents in which some rule is found, by way of the index at path.
 
     Postings are united by document into the few trigrams that the rules ask for; only documents that meet a rule's query
-    are read and verified.  A rule without mandatory trigrams reads them all."""
+    are read and verified, and those without a doc_id, which the index can't name.  A rule without mandatory trigrams reads
+    them all."""
     spark, queries = docs.sparkSession, [trigram_query(r.pattern) for r in rules]
     if None not in queries:
         wanted = sorted(int.from_bytes(g, "big") for g in set().union(*map(trigrams, queries)))
         postings = spark.read.schema(POSTINGS).parquet(path).where(F.col("gram").isin(*wanted))
         held = postings.select("gram", F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(F.collect_set("gram").alias("held"))
-        docs = docs.join(held.where(meets(either(queries), F.col("held"))).select("doc_id"), "doc_id", "left_semi")
+        met = held.where(meets(either(queries), F.col("held"))).select(F.col("doc_id").alias("met"))
+        narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        docs = narrow.join(met, narrow.doc_id == met.met, "left_semi").unionByName(narrow.where("doc_id is null"))
     return scan(docs, rules).where(F.size("spans") > 0)
 
 

@@ -7,12 +7,13 @@ common grid point: the range join sends every distinct fingerprint to its own po
 that, and what meets in a point is verified exactly.  Rows grow with the distinct fingerprints, not with pairs.
 
 Small groups in a point are compared pair by pair; larger ones by their balls of one flipped bit, which two fingerprints
-share if and only if they differ in two bits or fewer.  Both emit a chain or the few links themselves, never all pairs of
-a large group, and lose no connection.
+share if and only if they differ in two bits or fewer; points that are crowded beyond a bound are dealt out by balls instead
+(links).  All emit a chain or the few links themselves, never all pairs of a large group, and lose no connection.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other; equal fingerprints always link;
 a row with a null doc_id gets its class but never names it (null if the whole class has none).  Only doc_id and text are
-read.  Repeated rows come back as often as they came.
+read, so clashing or odd other columns do no harm.  Repeated rows come back as often as they came.  A text's words and
+hashes are held in memory while it is read, about 100 bytes a word, so the longest text bounds a task's need.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from siltstone.llm.common import components, free_name, partitions, saved
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 PAIRWISE = 48  #: larger groups in a grid point are linked by balls
+DENSE = 256  #: fingerprints whose own grid point is the same, beyond which those around it are dealt out by balls
+NAMELESS = 1 << 62  #: class numbers from here on belong to classes without any doc_id (a doc_id this large counts as none)
 
 
 def fingerprint(text: str | None) -> int:
@@ -47,15 +50,19 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def _hash(text: str) -> Column:
+    return F.xxhash64(F.col(f"`{text}`").cast("string"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, h (a hash of the text), fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py()) for x in batch.column("text")), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _hash("text").alias("h"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def grid_point(fp: Column) -> Column:
@@ -160,30 +167,67 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """distinct: fp (no repeats), rep.  Links a, b between reps that connect what two bits or fewer connect."""
-    rows = distinct.select(F.explode(nearby_points(grid_point(F.col("fp")))).alias("point"), "fp", "rep")
-    dealt = rows.repartition(partitions(distinct.sparkSession), "point").sortWithinPartitions("point")
-    return dealt.mapInArrow(_links, "a long, b long").distinct()
+def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
+    """distinct: fp (no repeats), rep.  Links a, b between reps that connect what two bits or fewer connect.
+
+    Grid points within a step of one that over `dense` fingerprints have as their own are crowded.  Who is in a crowded point
+    is not met there but in balls: it goes to its own fingerprint and the 64 that differ in one bit, and two fingerprints
+    share such a place if and only if they differ in two bits or fewer; no place has more than 65.  So no point that is left
+    holds more than 33 * dense rows, however many near copies there are."""
+    points = distinct.select("fp", "rep", grid_point(F.col("fp")).alias("own"))
+    crowded = points.groupBy("own").agg(F.count("*").alias("n")).where(F.col("n") > dense).select(F.explode(nearby_points(F.col("own"))).alias("point")).distinct()
+    crowded = saved(crowded, "simhash-crowded")
+    rows = points.select(F.explode(nearby_points(F.col("own"))).alias("point"), "fp", "rep")
+    some = not crowded.isEmpty()
+    met = rows.join(crowded, "point", "left_anti") if some else rows
+    dealt = met.repartition(partitions(distinct.sparkSession), "point").sortWithinPartitions("point")
+    found = dealt.mapInArrow(_links, "a long, b long")
+    if some:
+        inside = rows.join(crowded, "point", "left_semi").select("fp", "rep").distinct()
+        places = inside.select(F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << k) - (1 << 64) * (k == 63))) for k in range(64)))).alias("place"), "rep")
+        before = F.lag("rep").over(Window.partitionBy("place").orderBy("rep"))
+        found = found.unionByName(places.select(before.alias("a"), F.col("rep").alias("b")).where("a is not null"))
+    return found.distinct()
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows' prints (doc_id, h, fp), and of each fingerprint its class: a number under NAMELESS is its smallest doc_id."""
+    prints = saved(fingerprints(docs), "simhash")
+    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("named")), "simhash-distinct")
+    # A fingerprint that only rows without doc_id have needs a name of its own, which can't win against a doc_id.  Two of
+    # them may get one name, but only if they differ in their last two bits alone, and then they link anyway.
+    distinct = distinct.select("fp", F.coalesce("named", F.lit(NAMELESS) + F.shiftrightunsigned("fp", 2)).alias("rep"))
+    classes = components(links(distinct), "simhash-links")
+    named = distinct.join(classes, distinct.rep == classes.id, "left").select("fp", F.coalesce("component", "rep").alias("class"))
+    return prints, saved(named, "simhash-classes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the class)."""
-    prints = saved(fingerprints(docs), "simhash")
-    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("named")), "simhash-distinct")
-    # A fingerprint that only rows without doc_id have needs a name of its own: below all doc_ids' range it can't win.
-    distinct = distinct.select("fp", "named", F.coalesce("named", F.lit((1 << 62)) + F.shiftrightunsigned("fp", 2)).alias("rep"))
-    classes = components(links(distinct.select("fp", "rep")), "simhash-links")
-    named = distinct.join(classes, distinct.rep == classes.id, "left").select("fp", F.coalesce("component", "named").alias("component_id"))
-    named = saved(named.withColumn("component_id", F.when(F.col("component_id") < (1 << 62), F.col("component_id"))), "simhash-classes")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    prints, named = _classes(docs)
+    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("class") < NAMELESS, F.col("class")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but one document (smallest doc_id) of each class.  Rows that share a doc_id are one document, of
-    which one row stays; rows without a doc_id can't be told apart and stay."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept, place = docs.join(keep, "doc_id", "left_semi"), free_name(docs, "place")
-    first = Window.partitionBy("doc_id").orderBy(*docs.columns)
-    kept = kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """docs with one row of each class: that of the smallest doc_id, or where no row of the class has one, of the smallest
+    fingerprint and text hash.  Rows that share a doc_id but not a text are told apart by a hash of the text, each judged in
+    its own class; of rows equal in both one stays.
+
+    Who stays is settled on narrow rows; texts are neither sorted nor compared, and any kind of column may ride along."""
+    prints, named = _classes(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "h")).alias("k")
+    keep = prints.join(named, "fp").groupBy("class").agg(first).select("k.doc_id", "k.h")
+    copies = prints.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    keep = saved(keep.alias("k").join(copies.alias("c"), F.col("k.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("k.h") == F.col("c.h"))).select(F.col("k.doc_id").alias("keep_id"), F.col("k.h").alias("keep_h"), "n"), "simhash-kept")
+    hashed = free_name(docs, "h")
+    rows = docs.withColumn(hashed, _hash("text"))
+
+    def kept(which: DataFrame) -> DataFrame:
+        same = rows["doc_id"].cast("long").eqNullSafe(which["keep_id"]) & (rows[hashed] == which["keep_h"])
+        return rows.join(which, same, "left_semi")
+
+    again = keep.where("n > 1")
+    out = kept(keep.where("n = 1"))
+    if not again.isEmpty():
+        out = out.unionByName(kept(again).dropDuplicates(["doc_id", hashed]))
+    return out.drop(hashed)

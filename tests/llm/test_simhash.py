@@ -103,3 +103,39 @@ def test_components_of_long_chains_and_hubs(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[k] == 0 for k in range(201)) and all(got[k] == 1000 for k in range(1000, 1100)) and 5000 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_of_each_with_maps_clashing_ids_and_none(spark):
+    other = "quite another text with words of its own"
+    rows = [(5, "a b c d"), (5, "a b c d"), (5, other), (7, other.upper()), (9, "A B C D"), (None, "a b c d"), (None, "no id at all here"), (None, "no id at all here"), (3, "x " * 50_000), (4, "x " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").withColumns({"m": F.create_map(F.lit("k"), F.col("text")), "h": F.lit(1), "class": F.lit("c"), "fp": F.array(F.lit(1))})
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    # one row a class: 5's first text, 5's other text in a class of its own, one of those without an id, 3 for 3 and 4
+    assert sorted((r.doc_id or 0, r.text[:7], len(r.m)) for r in got.collect()) == [(0, "no id a", 1), (3, "x x x x", 1), (5, "a b c d", 1), (5, "quite a", 1)]
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_crowded_points_lose_no_link(spark):
+    rng = random.Random(21)
+    fps = set()
+    for _ in range(3):
+        centre = rng.getrandbits(64)
+        for _ in range(120):
+            x = centre
+            for _ in range(rng.randint(0, 5)):
+                x ^= 1 << rng.randrange(64)
+            fps.add(x)
+    fps = sorted(fps | {0, (1 << 64) - 1, (1 << 63), (1 << 63) | 1})
+    want = slow_classes(fps)
+    df = spark.createDataFrame([(x - (x >> 63 << 64), k) for k, x in enumerate(fps)], "fp long, rep long")
+    for dense in (1, 4, 10_000):
+        got = {r.id: r.component for r in components(simhash.links(df, dense)).collect()}
+        assert [got.get(k, k) for k in range(len(fps))] == want
+
+
+def test_hubs_apart_give_the_same_components(spark):
+    rng = random.Random(2)
+    edges = [(0, k) for k in range(1, 60)] + [(rng.randrange(400), rng.randrange(400)) for _ in range(150)] + [(500 + k, 501 + k) for k in range(30)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert sorted(map(tuple, components(df, most=5).collect())) == sorted(map(tuple, components(df).collect()))
