@@ -30,7 +30,6 @@ from siltstone.llm.common import components, free_name, partitions, saved
 SEED, SHINGLE, RADIUS = 42, 3, 2
 PAIRWISE = 48  #: larger groups in a grid point are linked by balls
 DENSE = 256  #: fingerprints whose own grid point is the same, beyond which those around it are dealt out by balls
-NAMELESS = 1 << 62  #: class numbers from here on belong to classes without any doc_id (a doc_id this large counts as none)
 
 
 def fingerprint(text: str | None) -> int:
@@ -191,21 +190,20 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows' prints (doc_id, h, fp), and of each fingerprint its class: a number under NAMELESS is its smallest doc_id."""
+    """The rows' prints (doc_id, h, fp), and of each fingerprint its class (the smallest fingerprint in it, which is no
+    doc_id: texts that share a doc_id may be in different classes) and the smallest doc_id of that."""
     prints = saved(fingerprints(docs), "simhash")
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("named")), "simhash-distinct")
-    # A fingerprint that only rows without doc_id have needs a name of its own, which can't win against a doc_id.  Two of
-    # them may get one name, but only if they differ in their last two bits alone, and then they link anyway.
-    distinct = distinct.select("fp", F.coalesce("named", F.lit(NAMELESS) + F.shiftrightunsigned("fp", 2)).alias("rep"))
-    classes = components(links(distinct), "simhash-links")
-    named = distinct.join(classes, distinct.rep == classes.id, "left").select("fp", F.coalesce("component", "rep").alias("class"))
-    return prints, saved(named, "simhash-classes")
+    classes = components(links(distinct.select("fp", F.col("fp").alias("rep"))), "simhash-links")
+    found = saved(distinct.join(classes, distinct.fp == classes.id, "left").select("fp", "named", F.coalesce("component", "fp").alias("class")), "simhash-classes")
+    least = found.groupBy("class").agg(F.min("named").alias("component_id"))
+    return prints, saved(found.drop("named").join(least, "class"), "simhash-named")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the class)."""
     prints, named = _classes(docs)
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("class") < NAMELESS, F.col("class")).alias("component_id"))
+    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
