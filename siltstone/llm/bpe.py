@@ -65,6 +65,11 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.units(text)))
 
 
+    def count(self, text: str | None) -> int:
+        """How many ids `encode` gives."""
+        return len(self.encode(text)) // 4
+
+
 @lru_cache(maxsize=4)
 def encoder(tokenizer: str, limit: int = CACHE_UNITS) -> Encoder:
     """tokenizer: a path, or the bare name of a file of public_tokenizers, which each executor then looks up itself."""
