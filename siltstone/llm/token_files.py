@@ -6,8 +6,9 @@ dictionary), so metadata reads touch a few bytes a row.  Row groups and pages ha
 offset indexes are written, so a range of doc_id reads the row groups and pages that hold it and no others.
 
 Defined results: a null text counts as empty; every document ends with end_id, so an empty one has one token; rows with
-one doc_id stay side by side, ordered by text; a null doc_id comes first.  Columns beside doc_id and text are not read,
-so clashing names do no harm.  An empty table gives an empty one.
+one doc_id stay side by side, ordered by the text's first 32 characters and then a hash of it; a null doc_id comes first.  Columns beside doc_id and text are not read,
+so clashing names do no harm.  An empty table gives an empty one.  A text and its ids are held in memory while it is
+encoded and written.
 """
 
 from __future__ import annotations
@@ -44,7 +45,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part, np.int32)), doc_ids.slice(lo, 256), pa.array(starts), pa.array(n), ids], ["part", "doc_id", "local_start", "n_tokens", "ids"])
 
     n = files or partitions(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that share a doc_id (or have none) may be very many: ranges part them by the first letters and a hash of the text,
+    # and equal rows by their number.  These keys are short, as a sample of them reaches the driver.
+    keys = [F.col("doc_id"), F.substring("text", 1, 32), F.xxhash64("text"), F.col("number")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("number"))
+    ordered = docs.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     writer = ordered.mapInArrow(encode, SCHEMA).write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
     for k, v in {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "parquet.dictionary.page.size": 1 << 20, "parquet.enable.dictionary": "true", **{f"parquet.enable.dictionary#{c}": "false" for c in ("part", "doc_id", "local_start", "n_tokens")}}.items():
         writer = writer.option(k, str(v))

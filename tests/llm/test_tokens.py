@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.llm import bpe, packing, token_files
@@ -49,6 +50,22 @@ def test_token_files_round_trip(spark):
     assert token_files.token_digest(docs_of(spark, [])).count() == 0
 
 
+def test_rows_of_one_doc_id_go_to_many_files(spark, tmp_path):
+    rows = [(None, f"text {k % 40} of many that begin alike, as all of these do", None, None) for k in range(2000)] + [(4, "equal", None, None)] * 2000
+    path = str(tmp_path / "t")
+    token_files.write_tokens(docs_of(spark, rows), path, files=8)
+    got = token_files.read_tokens(spark, path, ("part", "doc_id")).groupBy("part").count().collect()
+    assert sum(r["count"] for r in got) == 4000 and len(got) >= 6 and max(r["count"] for r in got) < 1500
+    digest = token_files.token_digest(docs_of(spark, rows)).orderBy("start").collect()
+    assert [r.doc_id for r in digest] == [None] * 2000 + [4] * 2000
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(digest, digest[1:], strict=False))
+
+
+def test_packing_reads_nothing_else(spark):
+    odd = docs_of(spark, ROWS).withColumns({c: F.lit("x") for c in ("length", "piece", "sequence_id", "offset", "local_rank")})
+    assert packing.pack_documents(odd).count() == packing.pack_documents(docs_of(spark, ROWS)).count()
+
+
 def test_token_files_are_selective(spark, tmp_path):
     import pyarrow.parquet as pq
 
