@@ -2,10 +2,12 @@
 
 Lengths are whole numbers up to the capacity, so an instance of any number of pieces is a histogram of at most
 `capacity` counts.  The reduction and the best fit work on that histogram: the driver holds nothing that grows with the
-corpus, and the plan (which ranks of which length go to which sequences) is a table whose size has the same bound.
+corpus, and the plan (which ranks of which length go to which sequences) is a table whose size has the same bound; it alone
+is broadcast.
 
 Defined results: a null text counts as empty (one token, the end id); pieces of repeated rows are packed like any other;
-a piece keeps its row's doc_id, null included.  Columns beside doc_id and text are not read.
+a piece keeps its row's doc_id, null included; an empty table gives no pieces.  Columns beside doc_id and text are not read,
+so clashing names do no harm.  A text and its ids are held in memory while it is cut.
 """
 
 from __future__ import annotations
@@ -151,7 +153,8 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     plan = spark.createDataFrame(runs(solve(histogram, capacity)), "p_length long, lo long, hi long, base long, n_seq long, at long")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = per_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank_base"))
-    ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("rank_base") + F.col("local_rank"))
+    # base has a row for each part and length, so it grows with the corpus: it meets the (narrow) pieces by a shuffle.
+    ranked = pieces.join(base.hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank_base") + F.col("local_rank"))
     q = F.col("rank") - F.col("lo")
     return ranked.join(F.broadcast(plan), (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(
         *(c for c in pieces.columns if c not in ("part", "local_rank")),
