@@ -6,12 +6,15 @@ that exact copies share a fold: the features of a fold's rows come from a lexico
 from scores by trees of the other two.  Labels are read from rows whose
 crc32(doc_id as text) mod 4 is not 2 alone; a score depends on nothing but the text.
 
-At most SAMPLE labelled rows, spread evenly by a hash of the doc_id, are used for fitting; what reaches the driver is
-their dense features and at most LEXICON words.  Scoring is one pass without a shuffle.
+About SAMPLE distinct labelled texts at most, spread evenly by hashes, are used for fitting, however often rows, labels or
+doc_ids repeat; what reaches the driver is their dense features and at most LEXICON words a lexicon.  Those two and
+MOST_LETTERS, beyond which a word isn't learnt (it may still be found by its beginning), are parameters of the fit alone:
+scoring takes every word of every whole text, in one pass without a shuffle.
 
 Defined results: a null text counts as empty and is scored like any other; with no labelled rows of one of the two kinds
-all scores are the share of toxic rows among them (0 without any); repeated or clashing labels of a doc_id count as the
-largest; a null doc_id is not held out.
+all scores are the share of toxic rows among them (0 without any); repeated or clashing labels of a doc_id, and those of
+equal texts, count as the largest; a null doc_id is not held out.  `classified` reads doc_id and text alone, `clean` passes
+all columns through, whatever their names.  A text's words are held while it is scored, about 100 bytes a word.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from pyspark.sql import types as T
 
 from siltstone.llm.common import free_name, saved
 
-SAMPLE = 30_000  #: labelled rows that are used for fitting, at most (about)
+SAMPLE = 30_000  #: labelled texts that are used for fitting, at most (about)
 LEXICON = 1_500  #: words
+MOST_LETTERS = 40  #: of a word that is learnt
 THRESHOLD = 0.3
 LEAST_TEXTS = 3  #: distinct toxic texts that a word must be in
 LEAST_ODDS = 2.5  #: and its log-odds
@@ -106,7 +110,7 @@ def features(text: str, words: Words) -> list[float]:
     return [
         len(hits), len({e for _, e, _ in hits}), 100 * len(hits) / n, sum(weights), max(weights, default=0.0), near,
         sum(c[2] for _, c in said), 100 * sum(c[3] for _, c in said) / n, capitals / chars, sum(c[5] for _, c in said) / n,
-        100 * text.count("!") / chars, marks / chars, digits / chars, 100 * len(second) / n, math.log1p(len(raw)), min(run, 50),
+        100 * text.count("!") / chars, marks / chars, digits / chars, 100 * len(second) / n, math.log1p(len(raw)), run,
     ]
 
 
@@ -215,15 +219,22 @@ def held_out():  # noqa: ANN201
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _thinned(rows: DataFrame, by: str, key: list, n: int, most: int) -> DataFrame:
+    """About `most` of n rows, by a hash of their key."""
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(by), *key), F.lit(1 << 20)) < int((1 << 20) * most / n))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """text, toxic, fold of the sampled labelled rows; the keys that may be broadcast are at most about `sample`."""
+    """text, toxic, fold of the sampled labelled texts, a row each.  The keys that may be broadcast are at most about
+    `sample`; so are the texts that are shuffled, as rows that share a sampled doc_id are counted, and thinned, before."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out())
     marked = marked.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = marked.count()
-    if n > sample:
-        marked = marked.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
+    marked = _thinned(marked, "sample", ["doc_id"], marked.count(), sample)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = picked.join(F.broadcast(marked), "doc_id")
+    rows = _thinned(rows, "rows", ["doc_id", "text"], rows.count(), 2 * sample)
+    # Copies of a text would only weigh it more: each counts once.
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
     return rows.select("text", "toxic", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
@@ -234,14 +245,13 @@ def learn_lexicons(rows: DataFrame, size: int = LEXICON) -> list[dict[str, float
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, len(b), SLICE)):
             got = zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True)
-            rows = [(e, y, f) for t, y, f in got for e in {e for w in set(tokens(t)) if len(w) <= 40 for e in entries(w)}]
+            rows = [(e, y, f) for t, y, f in got for e in {e for w in set(tokens(t)) if len(w) <= MOST_LETTERS for e in entries(w)}]
             cols = zip(*rows, strict=True) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32()), strict=True)], ["word", "toxic", "fold"])
 
-    texts = rows.distinct()
-    per_fold = {r.fold: (float(r.a), float(r.n)) for r in texts.groupBy("fold").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).collect()}
+    per_fold = {r.fold: (float(r.a), float(r.n)) for r in rows.groupBy("fold").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).collect()}
     by_fold = [F.sum(F.when(F.col("fold") == k, v).otherwise(0)).alias(f"{name}{k}") for k in range(FOLDS) for name, v in (("a", F.col("toxic")), ("n", F.lit(1)))]
-    counts = saved(texts.mapInArrow(words, "word string, toxic int, fold int").groupBy("word").agg(*by_fold).where("a0 + a1 + a2 >= 2"), "toxicity-words")
+    counts = saved(rows.mapInArrow(words, "word string, toxic int, fold int").groupBy("word").agg(*by_fold).where("a0 + a1 + a2 >= 2"), "toxicity-words")
     out = []
     for left_out in (*range(FOLDS), None):
         folds = [k for k in range(FOLDS) if k != left_out]
@@ -267,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = [features(t, words[f]) for t, f in zip(batch.column("text").to_pylist(), folds.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic"), folds], ["x", "y", "fold"])
 
-    got = rows.mapInArrow(dense, "x array<double>, y int, fold int").toPandas()  # at most about `sample` rows
+    got = rows.mapInArrow(dense, "x array<double>, y int, fold int").toPandas()  # at most about 2 * `sample` rows
     y, fold = (got.y.to_numpy() > 0).astype(float), got.fold.to_numpy()
     prior = float(y.mean()) if len(y) else 0.0
     if not 0 < prior < 1:

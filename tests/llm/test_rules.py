@@ -421,3 +421,63 @@ def test_features_are_numbers():
         f = toxicity.features(t, words)
         assert len(f) == len(toxicity.FEATURES) and all(math.isfinite(x) for x in f)
     assert toxicity.features("1d10t", words)[6] == 1 and toxicity.features("you are an idiot", words)[5] == 1
+
+
+def slow_features(text, lexicon):
+    """The dense features from their definitions, word by word."""
+    edge = [c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$*"] + list("«»“”„‘’…¿¡")
+
+    def bare(w):
+        while w and w[0] in edge:
+            w = w[1:]
+        while w and w[-1] in edge:
+            w = w[:-1]
+        return w
+
+    def entry(w):
+        return next((e for e in [w, w[:5] + "*" if len(w) > 5 else None, w[:4] + "*" if len(w) > 4 else None] if e in lexicon), None)
+
+    raw, hits, second, hidden, odd, shouted = text.split(), [], [], 0, 0, 0
+    for k, x in enumerate(raw):
+        w = bare(x.lower())
+        e = entry(w)
+        strange = not e and not w.isalpha() and bool(re.search(r"[^\W\d_][0-9@$!*_+|€.-]+[^\W\d_]|[0-9@$][^\W\d_]{2}", w))
+        if strange:
+            odd += 1
+            e = entry("".join(toxicity.LEET.get(ord(c), c) for c in w))
+            hidden += e is not None
+        if e:
+            hits.append((k, e, lexicon[e]))
+        shouted += len(x) > 2 and x.isupper()
+        if w in toxicity.SECOND:
+            second.append(k)
+    near = sum(any(abs(k - j) <= 4 for j in second) for k, *_ in hits)
+    n, chars = max(1, len(raw)), max(1, len(text))
+    run = best = 0
+    for k, c in enumerate(text):
+        run = run + 1 if k and c == text[k - 1] and c.isalpha() else 1
+        best = max(best, run if run > 3 else 0)
+    share = lambda f: sum(map(f, text)) / chars
+    return [
+        len(hits), len({e for _, e, _ in hits}), 100 * len(hits) / n, sum(w for *_, w in hits), max([0.0, *(w for *_, w in hits)]), near, hidden, 100 * odd / n,
+        share(lambda c: "A" <= c <= "Z" or "À" <= c <= "Ö" or "Ø" <= c <= "Þ"), shouted / n, 100 * share(lambda c: c == "!"), share(lambda c: c in ".,;:?\"'()|#&%"), share(lambda c: c in "0123456789"), 100 * len(second) / n, math.log1p(len(raw)), best,
+    ]
+
+
+def test_features_by_their_definitions():
+    rng = random.Random(17)
+    lexicon = {"idiot": 3.0, "abcd*": 2.0, "zorkh*": 4.5, "moron": 1.25}
+    bits = ["you", "YOU", "your,", "idiot", "IDIOT!!", "1d10t", "m0r0n", "abcdefg", "zorkhead", "m-o-r-o-n", "aaaaaaargh", "plain", "text", "Ärger", "42", "$$$", "(idiot)", "¿tu?", "é", "x" * 70]
+    texts = ["", " ", "idiot you idiot", "word " * 5_000 + "you idiot", "!" * 100] + [rng.choice([" ", "  ", "\n"]).join(rng.choices(bits, k=rng.randint(1, 40))) for _ in range(400)]
+    words = toxicity.Words(lexicon, limit=9)
+    for t in texts:
+        assert toxicity.features(t, words) == pytest.approx(slow_features(t, lexicon)), t
+
+
+def test_training_rows_are_bounded_whatever_repeats(spark):
+    docs = spark.createDataFrame([(1, "same text")] * 500 + [(2, f"text {k}") for k in range(3_000)] + [(None, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (None, 1)] * 40, "doc_id long, toxic int")
+    rows_ = toxicity.training_rows(docs, labels, sample=50).collect()
+    assert len(rows_) < 250 and len({r.text for r in rows_}) == len(rows_)
+    whole = {r.text: r.toxic for r in toxicity.training_rows(docs, labels).collect()}
+    assert whole["same text"] == 1 and len(whole) == 3_002
