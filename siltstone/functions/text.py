@@ -64,10 +64,19 @@ def loose(text: C) -> Column:
 
 # --- masking --------------------------------------------------------------------------------------------------------
 
-AT = r"(?:@|＠|﹫|%40|&#0*64;|&commat;)"  # fixed values: the signs that stand for @
-EMAIL = rf"(?i)[A-Z0-9._%+\-]+\s*{AT}\s*[A-Z0-9\-]+(?:\.[A-Z0-9\-]+)*\.[A-Z]{{2,}}"
-DICTATED = r"(?i)\b[A-Z0-9._%+\-]{2,}[\s,;:]*(?:[<\[({]\s*at\s*[>\])}]|\bat\b|@)\s*[A-Z0-9\-]{2,}(?:(?:\s*\bdot\b\s*|\.)[A-Z0-9\-]{2,})*(?:\s*\bdot\b\s*|\.)[A-Z]{2,}\b"
+#: The signs that stand for @.
+AT = r"(?:[@＠﹫]|%40|&#0*64;|&#[xX]0*40;|&commat;)"
+#: Letters of any script count, in names and hosts; brackets may stand about the sign.  (RE2 reads these patterns too.)
+_NAME, _OPEN, _CLOSE = r"[\p{L}\p{M}\p{N}_.%+\-]", r"[<\[({]", r"[>\])}]"
+EMAIL = rf"(?i){_NAME}+\s*{_OPEN}?\s*{AT}\s*{_CLOSE}?\s*[\p{{L}}\p{{M}}\p{{N}}_.\-]+\.[\p{{L}}\p{{M}}]{{2,}}"
+#: An address said aloud: name, "at", labels and "dot"s.  A dot that is said may have spaces about it, a full stop may not.
+_LABEL = r"[\p{L}\p{M}\p{N}\-]{2,}"
+_SAID_AT = rf"(?:{_OPEN}\s*at\s*{_CLOSE}|\bat\b|{AT})"
+_SAID_DOT = rf"(?:\s*{_OPEN}?\s*\bdot\b\s*{_CLOSE}?\s*|\.)"
+DICTATED = rf"(?i)(?<!{_NAME}){_NAME}{{2,}}[\s,;:]*{_SAID_AT}\s*(?:{_LABEL}{_SAID_DOT})+[\p{{L}}\p{{M}}]{{2,}}\b"
+#: Fixed value.
 REMOVED = "[address removed]"
+OWNER_REMOVED = "/personal/[owner removed]/"  # fixed value
 
 
 def contains_email(text: C) -> Column:
@@ -93,14 +102,14 @@ def strip_dictated(text: C, mark: str = REMOVED) -> Column:
 
 def strip_owner_paths(text: C) -> Column:
     """I14, I76."""
-    return F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"(?i)/personal/[^/\s]+/", "/personal/[owner removed]/")
+    return F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"(?i)/personal/[^/\s]+/", OWNER_REMOVED)
 
 
 def spoken_at(text: C) -> Column:
     """Every spelling of at and dot as the signs, white space collapsed."""
     t = F.regexp_replace(_c(text), r"(?U)\s+", " ")
-    t = F.regexp_replace(t, rf"\s*{AT}\s*|\s*[\[({{<]\s*at\s*[\])}}>]\s*", "@")
-    return F.regexp_replace(t, r"(?i)\s*[\[({<]?\s*\bdot\b\s*[\])}>]?\s*", ".")
+    t = F.regexp_replace(t, rf"(?i)\s*(?:{_OPEN}?\s*{AT}\s*{_CLOSE}?|{_OPEN}\s*at\s*{_CLOSE})\s*", "@")
+    return F.regexp_replace(t, rf"(?i){_SAID_DOT}", ".")
 
 
 def scrub(text: C, secrets: Sequence[str]) -> Column:
