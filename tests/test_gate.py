@@ -11,7 +11,7 @@ from siltstone.operators import gate as G
 HELD = [
     "Don't write this down, but the engineer signed off a slab.", "Please do not put this in the report.", "Never minute that.", "Off the record, the beam was wrong.", "That doesn't go in the minutes.",
     "Keep this between us.", "Just between you and me, it leaks.", "Strike that from the record.", "Leave it out of the notes.", "Moenie dit neerskryf nie, ons was verkeerd.", "Moenie dit nou vir almal skryf en neer sit nie.",
-    "Hou dit tussen ons.", "Dit is nie vir die rekord nie.", "Ungakubhali oku.", "Musa ukubhala le nto.", "do n’t  write any of it down.", "DONT WRITE THAT DOWN.", "don't include the price in the write-up",
+    "Hou dit tussen ons.", "Dit is nie vir die rekord nie.", "Ungakubhali oku.", "Musa ukubhala le nto.", "do n’t  write any of it down.", "DONT WRITE THAT DOWN.", "don't include the price in the write-up.",
 ]
 NOT_HELD = ["Don't write to the trustees yet.", "Moenie skryf aan die trustees nie.", "Die prys is R12,000, maar moenie vir hulle se wat ons betaal het nie.", "Write the price down for me.", "We keep the record in the office.", "Between the wall and the roof.", "I never said. Write it down."]
 
