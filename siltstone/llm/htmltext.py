@@ -3,11 +3,13 @@
 A page is cut into blocks at block-level tags.  The first pass classifies each block by itself: what lies in a menu,
 header, footer, sidebar, notice, advert, form or comment section is out; link density, length and stop-word density make
 other blocks good, bad, or leave them open (near or short).  In the second pass an open block inherits the label of its
-nearest decided neighbours.  Blocks within an article are never bad for want of stop words.
+nearest decided neighbours.  What the tags say is one input: it rules out what is certainly outside, and within an article
+it moves the limits (LIMITS); a page without any such tags is judged by its text alone.
 The text of math is kept; elements in DROPPED, and options, are left out whole.
 
 Defined results: a null or empty html gives an empty text; a page cut off anywhere, unclosed tags and stray markup are
-read as far as they go; a row comes back for every row, repeats included; other columns are not read.
+read as far as they go; a row comes back for every row, repeats included; other columns are not read, so clashing names do
+no harm; an empty table gives no rows.  A page and its blocks are held in memory while it is read, a few times its size.
 """
 
 from __future__ import annotations
@@ -16,13 +18,25 @@ import html as _html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHORT, LONG = 70, 200  # characters
-LINKS, STOP_LOW, STOP_HIGH = 0.4, 0.08, 0.15  # shares of characters and of words
+SHORT = 70  # characters
+STOP_HIGH = 0.15  # share of words
+
+
+class Limits(NamedTuple):
+    links: float  # share of characters in links, above which a block is bad
+    least_linked: int  # characters of a block that may be bad for that
+    long: int  # characters above which a block of many stop words is good
+    stop_low: float  # share of stop words, below which a block is bad
+
+
+#: Of blocks of unknown place, and of those in an article: there a paragraph may be mostly a link, or without stop words.
+LIMITS = (Limits(0.4, 0, 200, 0.08), Limits(0.8, 21, 0, 0.0))
 
 #: Function words of English, German, French and Spanish.
 STOP = frozenset(
@@ -64,6 +78,7 @@ class Block:
     linked: int  # characters within links
     place: int  # -1 outside any article, 0 unknown, the number of its article otherwise
     label: str = ""
+    open: bool = False  # after the first pass
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -166,46 +181,47 @@ def blocks(page: str) -> list[Block]:
 
 
 def first_pass(b: Block) -> str:
+    """good, bad, or open: short, or near to good.  What lies outside is bad; else link density, length and stop-word density
+    decide, and whether the block lies in an article only moves the limits."""
     if b.place < 0:
         return "bad"
-    n = len(b.text)
+    n, limits = len(b.text), LIMITS[b.place > 0]
     dense = b.linked / max(1, n)
-    if dense > (0.8 if b.place and n > 20 else LINKS) and not (b.place and n < 20):
+    if dense > limits.links and n >= limits.least_linked or b.text[0] == "©" and not b.place:
         return "bad"
-    if not b.place and b.text[0] == "©":
-        return "bad"
-    words = [w.lower() for w in _WORD.findall(b.text)]
-    stop = sum(w in STOP for w in words) / max(1, len(words))
     if n < SHORT:
         return "short"
+    words = [w.lower() for w in _WORD.findall(b.text)]
+    stop = sum(w in STOP for w in words) / max(1, len(words))
     if stop >= STOP_HIGH:
-        return "good" if n > LONG or b.place else "near"
-    return "near" if b.place or stop >= STOP_LOW else "bad"
+        return "good" if n > limits.long else "near"
+    return "near" if stop >= limits.stop_low else "bad"
 
 
 def classify(found: list[Block]) -> None:
-    """Both passes.  Open blocks in an article ask their neighbours within it; without decided ones they are its text."""
+    """Both passes.  An open block takes the label of its nearest decided neighbours, in an article those within it; where
+    they differ, or there are none, it is good if it is near to good or lies in an article."""
     first = [first_pass(b) for b in found]
-
-    def neighbour(k: int, step: int) -> str:
-        place, j = found[k].place, k + step
-        while 0 <= j < len(found) and found[j].place == place:
-            if first[j] in ("good", "bad"):
-                return first[j]
-            j += step
-        return "" if place else first[j] if 0 <= j < len(found) and first[j] in ("good", "bad") else ""
-
     for k, b in enumerate(found):
+        b.open = first[k] not in ("good", "bad")
+    before, after = _nearest(found, first, range(len(found))), _nearest(found, first, range(len(found) - 1, -1, -1))
+    for k, b in enumerate(found):
+        sides = {before[k], after[k]} - {""}
+        b.label = first[k] if not b.open else sides.pop() if len(sides) == 1 else "good" if b.place or first[k] == "near" else "bad"
+
+
+def _nearest(found: list[Block], first: list[str], order: range) -> list[str]:
+    """Of each block the label of the nearest decided one before it in this order, in one pass.  An article's blocks don't
+    ask beyond it; others ask the first block beyond theirs, if it is decided, and no further."""
+    out, last, edge, place = [""] * len(found), "", "", None
+    for k in order:
+        if found[k].place != place:
+            edge = first[k - order.step] if place is not None and first[k - order.step] in ("good", "bad") else ""
+            place, last = found[k].place, ""
+        out[k] = last or ("" if place else edge)
         if first[k] in ("good", "bad"):
-            b.label = first[k]
-            continue
-        sides = {neighbour(k, -1), neighbour(k, 1)} - {""}
-        if not sides:
-            b.label = "good" if b.place or first[k] == "near" else "bad"
-        elif len(sides) == 1:
-            b.label = sides.pop()
-        else:
-            b.label = "good" if b.place or first[k] == "near" else "bad"
+            last = first[k]
+    return out
 
 
 def main_text(page: str | None) -> str:

@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -339,6 +340,118 @@ def test_plain_pages_by_density():
     assert htmltext.main_text(good) == f"{LONG.strip()}\nshort between\n{LONG.strip()}"
 
 
+class SlowBlocks(HTMLParser):
+    """Blocks of well-formed pages (text, linked characters, place), tag by tag."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.out, self.places, self.text, self.linked, self.link, self.articles = [], [0], "", 0, False, 0
+        self.feed(page)
+        self.flush()
+
+    def flush(self):
+        if text := " ".join(self.text.split()):
+            self.out.append((text, self.linked, self.places[-1]))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.link = True
+            return
+        self.flush()
+        if tag in ("div", "article", "nav", "aside", "section"):
+            here, name = self.places[-1], dict(attrs).get("class", "")
+            if tag in ("nav", "aside") or "sidebar" in name:
+                here = -1
+            elif here == 0 and (tag == "article" or name == "post-body"):
+                self.articles += 1
+                here = self.articles
+            self.places.append(here)
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.link = False
+            return
+        self.flush()
+        if tag in ("div", "article", "nav", "aside", "section"):
+            self.places.pop()
+
+    def handle_data(self, data):
+        self.text += data
+        self.linked += len(data) if self.link and data.strip() else 0
+
+
+def slow_main_text(page):
+    """Both passes by their rules, each open block looking for its neighbours by itself."""
+    found, first, out = SlowBlocks(page).out, [], []
+    for text, linked, place in found:
+        n, words = len(text), [w.lower() for w in re.findall(r"[^\W\d_]+", text)]
+        stop, dense = sum(w in htmltext.STOP for w in words) / max(1, len(words)), linked / len(text)
+        if place < 0 or (dense > 0.8 and n > 20 if place else dense > 0.4):
+            first.append("bad")
+        elif n < 70:
+            first.append("short")
+        elif stop >= 0.15:
+            first.append("good" if place or n > 200 else "near")
+        else:
+            first.append("near" if place or stop >= 0.08 else "bad")
+    for k, (text, _, place) in enumerate(found):
+        if first[k] in ("short", "near"):
+            sides = set()
+            for step in (-1, 1):
+                j = k + step
+                while 0 <= j < len(found) and found[j][2] == place and first[j] not in ("good", "bad"):
+                    j += step
+                if 0 <= j < len(found) and first[j] in ("good", "bad") and (found[j][2] == place or not place):
+                    sides.add(first[j])
+            label = sides.pop() if len(sides) == 1 else "good" if place or first[k] == "near" else "bad"
+        else:
+            label = first[k]
+        out += [text] if label == "good" else []
+    return "\n".join(out)
+
+
+def random_page(rng, tags):
+    def block():
+        stop = rng.choice([0.0, 0.1, 0.3])
+        words = " ".join(rng.choice(["the", "of", "and"]) if rng.random() < stop else rng.choice(["zorp", "quint", "blan", "merrow"]) for _ in range(rng.choice([1, 3, 8, 20, 60])))
+        cut = rng.choice([0, 0, 0.3, 0.6, 1]) * len(words)
+        return f"<p><a href=x>{words[: int(cut)]}</a>{words[int(cut) :]}</p>" if cut else f"<p>{words}</p>"
+
+    def box(depth):
+        inside = "".join(box(depth - 1) if depth and rng.random() < 0.3 else block() for _ in range(rng.randint(1, 6)))
+        tag = rng.choice(tags)
+        return f"<{tag}>{inside}</{tag.split()[0]}>"
+
+    return f"<html><body>{''.join(box(2) for _ in range(rng.randint(1, 4)))}</body></html>"
+
+
+@pytest.mark.parametrize("tags", [["div"], ["div", "article", "nav", "aside", "div class='post-body'", "div class='sidebar'", "section"]])
+def test_block_rules_by_a_slow_version(tags):
+    rng, second = random.Random(23), 0
+    for _ in range(400):
+        page = random_page(rng, tags)
+        assert htmltext.main_text(page) == slow_main_text(page), page
+        found = htmltext.blocks(page)
+        htmltext.classify(found)
+        second += sum(b.open and b.label == "bad" for b in found) > 0 and sum(b.open and b.label == "good" for b in found) > 0
+    assert second > 50  # the second pass decides both ways
+
+
+def test_pages_without_article_tags_are_judged_by_their_text():
+    menu = "".join(f"<div><a href=/{k}>Item number {k}</a></div>" for k in range(6))
+    page = f"<div>{menu}</div><div><div>A heading</div><div>{LONG}</div><div>Short one.</div><div>{LONG}</div></div><div>{menu}<div>Terms</div></div>"
+    body = LONG.strip()
+    assert htmltext.main_text(page) == f"{body}\nShort one.\n{body}"  # the heading stands between a menu and the text: no
+
+
+def test_very_long_pages_and_clashing_names(spark):
+    page = f"<article>{'<p>' + LONG + '</p>'}" * 3_000
+    df = spark.createDataFrame([(1, "u", page, 5, 6)], "page_id long, url string, html string, n_chars int, label int")
+    (r,) = htmltext.extract(df).collect()
+    assert r.text == "\n".join([LONG.strip()] * 3_000) and r.n_chars == len(r.text) and htmltext.extract(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("odd", ["<svg-icon name=x></svg-icon>", "<video-player>", "<button-group></button-group>", "<title-bar/>", "<option-x>", "<svg class=a/>", '<svg data-x="a>b" />', "<SVG/>", "<math/>", "<svg><path/></svg >", "<script>x</script x>", "<datalist><option value=a>A<option>B</datalist>", "<p><option>A"])
 def test_odd_tags_take_no_text_with_them(odd):
     body = LONG.strip()
