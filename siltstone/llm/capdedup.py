@@ -5,10 +5,18 @@ directions, and every combination of one direction a block is a filter direction
 direction its inner product exceeds the cap's height; they are list-decoded block by block, dropping partial sums that
 can't reach it any more.  Vectors that share a filter meet there, and their cosine is computed in double precision.
 
-Vectors under LEAST_DIM components share one filter.  Height and number of filters follow from the rows of the largest label: a filter holds about PER_FILTER vectors however
-many there are, and a pair at the threshold shares one with probability RECALL (closer pairs: more).  Equal vectors are
-compared once.  Filters with more than SPLIT vectors (groups of near copies) are cut into chunks, and pairs of chunks go
-to different tasks.  A pair is counted in the first filter that its vectors share, and only there; counts and a spanning
+Height and number of filters follow from the rows of the largest label: a filter holds about PER_FILTER vectors however many
+there are, and a pair at the threshold shares one with probability RECALL (closer pairs: more; measured recall is in the
+README).  Of short vectors a cap that small would hold neighbours of none of its members: a cap is never so small that a pair
+at the threshold shares one cap in LEAST_SHARED or less often.  Equal vectors are compared once.
+
+Two rounds.  In the first, vectors meet as sketches of 128 signs of random directions, and a vector goes on to the second in
+those filters alone in which some other sketch is within NEAR_SIGNS of its own (at the threshold, cosine 0.93, a pair differs
+in 15 on average, and in more than 40 once in 1e9).  In the second the vectors themselves meet and their cosine decides.  So
+vectors that have no near one, most of them, are shuffled once.
+
+Filters with more than SPLIT vectors (groups of near copies) skip the first round and are cut into chunks, and pairs of chunks
+go to different tasks.  A pair is counted in the first filter that its vectors share, and only there; counts and a spanning
 forest leave a task, not the pairs.
 
 Defined results: a vector that is null, empty, zero or holds a null or non-finite component, or whose label is null, links with
@@ -30,9 +38,11 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import components, partitions, saved
 from siltstone.llm.simhash import _roots
 
-THRESHOLD, RECALL, PER_FILTER, SPLIT = 0.93, 0.9999, 16, 2_048
+THRESHOLD, RECALL, PER_FILTER, SPLIT = 0.93, 0.9999, 64, 2_048
 TILE = 1_024
-LEAST_DIM = 16  #: shorter vectors all share one filter
+LEAST_SHARED = 0.2
+SIGNS, NEAR_SIGNS = 128, 40
+MOST_WORDS = 2_048  #: directions of a block's code, about
 
 
 GRID = np.linspace(-1, 1, 20_001)
@@ -40,12 +50,18 @@ GRID = np.linspace(-1, 1, 20_001)
 
 def cap_share(height: np.ndarray | float, dim: int) -> np.ndarray:
     """Share of the unit sphere whose inner product with a direction is at least `height`."""
+    if dim == 1:  # two points
+        return 0.5 * (np.asarray(height) <= 1) + 0.5 * (np.asarray(height) <= -1)
+    if dim == 2:
+        return np.arccos(np.clip(height, -1, 1)) / np.pi
     density = np.cumsum((1 - np.clip(GRID, -1, 1) ** 2) ** ((dim - 3) / 2))
     return 1 - np.interp(height, GRID, density / density[-1])
 
 
 def shared_share(height: float, cosine: float, dim: int) -> float:
     """Chance that a vector at this cosine is in a cap of this height that holds the other one."""
+    if dim == 1:
+        return 1.0
     x = np.linspace(height, 0.999, 4001)
     need = (height - cosine * x) / np.sqrt((1 - cosine**2) * (1 - x**2))
     weight = (1 - x**2) ** ((dim - 3) / 2)
@@ -64,16 +80,19 @@ class Filters:
 
     @staticmethod
     def design(dim: int, rows: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Filters:
-        """rows: of the largest label.  The hits of filters that share block directions are not independent, hence twice as many."""
-        if dim < LEAST_DIM:
-            return Filters(dim, 1, 1, -2.0)  # one filter that holds all
-        share = min(0.05, max(PER_FILTER / max(rows, 1), 1e-6))
+        """rows: of the largest label."""
+        if dim == 1:  # a cap for each of the two points
+            return Filters(1, 1, 2, 0.5)
+        share = min(0.05, PER_FILTER / max(rows, 1))
         low, high = 0.0, 1.0
         while high - low > 1e-9:
             mid = (low + high) / 2
-            low, high = (mid, high) if cap_share(mid, dim) > share else (low, mid)
-        hits = 2 * -math.log(1 - recall) / shared_share(low, threshold, dim)
-        blocks = max(1, min(dim // 8, 2 if hits / share < 40_000 else 3))
+            low, high = (mid, high) if cap_share(mid, dim) > share and shared_share(mid, threshold, dim) > LEAST_SHARED else (low, mid)
+        share = float(cap_share(low, dim))
+        hits = -math.log(1 - recall) / shared_share(low, threshold, dim)
+        blocks = max(1, min(dim // 8, math.ceil(math.log(hits / share) / math.log(MOST_WORDS))))
+        # Filters that share block directions aren't independent; codes of few words need more of them.
+        hits *= 1 + 0.25 * (blocks - 1)
         return Filters(dim, blocks, max(2, math.ceil((hits / share) ** (1 / blocks))), low)
 
     def parts(self) -> list[np.ndarray]:
@@ -84,6 +103,8 @@ class Filters:
         rng = np.random.default_rng(self.seed)
         turn = np.linalg.qr(rng.normal(size=(self.dim, self.dim)))[0]
         codes = []
+        if self.dim == 1:  # its two points
+            return turn, [np.resize([[1.0], [-1.0]], (self.words, 1))]
         for p in self.parts():
             c = rng.normal(size=(self.words, len(p)))
             codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) * math.sqrt(len(p) / self.dim))
@@ -123,21 +144,93 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def filed(classes: DataFrame, dim: int, filters: Filters) -> DataFrame:
-    """label_key, rep, copies, vector, filters (all that hold it, ascending)."""
+    """label_key, rep, copies, vector, filters (all that hold it, ascending), s0, s1 (the sketch)."""
     kind = classes.schema["vector"].dataType
+    names = ["label_key", "rep", "copies", "vector", "filters", "s0", "s1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, codes = filters.tables()
+        signs = np.random.default_rng(filters.seed + 1).normal(size=(dim, SIGNS))
         for whole in batches:
             for lo in range(0, len(whole), 256):
                 batch = whole.slice(lo, 256)
-                row, name = filters.decode(_matrix(batch.column("vector"), dim), turn, codes)
+                x = _matrix(batch.column("vector"), dim)
+                row, name = filters.decode(x, turn, codes)
                 order = np.lexsort((name, row))
                 at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(batch)))])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(name[order]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label_key", "rep", "copies", "vector")), lists], ["label_key", "rep", "copies", "vector", "filters"])
+                sketch = np.packbits(x @ signs > 0, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), lists, pa.array(np.ascontiguousarray(sketch[:, 0])), pa.array(np.ascontiguousarray(sketch[:, 1]))], names)
 
-    return classes.select("label_key", "rep", "copies", "vector").mapInArrow(run, f"label_key string, rep long, copies long, vector {kind.simpleString()}, filters array<long>")
+    return classes.select(*names[:4]).mapInArrow(run, f"label_key string, rep long, copies long, vector {kind.simpleString()}, filters array<long>, s0 long, s1 long")
+
+
+def near_by_sketch(s: np.ndarray) -> np.ndarray:
+    """Which of the sketches (rows of two words) have another within NEAR_SIGNS."""
+    out = np.zeros(len(s), bool)
+    for lo in range(0, len(s), 512):
+        differ = np.bitwise_count(s[lo : lo + 512, None, 0] ^ s[None, :, 0]) + np.bitwise_count(s[lo : lo + 512, None, 1] ^ s[None, :, 1])
+        differ[np.arange(len(differ)), np.arange(lo, lo + len(differ))] = 255
+        out[lo : lo + 512] = (differ <= NEAR_SIGNS).any(1)
+    return out
+
+
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by label and filter; those go on that have a near sketch there.  Of a filter no more than SPLIT rows
+    are held: where more come, all go on."""
+    keep = ["rep", "filter", "nth"]
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    open_ = False  # whether the group at hand has passed SPLIT, so that its rows go straight on
+
+    def sifted(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
+            return
+        table = table.combine_chunks()
+        label, name = (table.column(c).to_numpy() for c in ("label_key", "filter"))
+        s = np.stack([table.column(c).to_numpy() for c in ("s0", "s1")], 1).view(np.uint64)
+        new = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (name[1:] != name[:-1])]))
+        on = np.zeros(table.num_rows, bool)
+        for lo, hi in zip(new, [*new[1:], table.num_rows], strict=True):
+            on[lo:hi] = hi - lo > SPLIT or hi - lo > 1 and near_by_sketch(s[lo:hi])
+        yield from table.select(keep).filter(pa.array(on)).to_batches()
+
+    def key(batch: pa.RecordBatch, i: int) -> tuple:
+        return batch.column("label_key")[i].as_py(), batch.column("filter")[i].as_py()
+
+    for batch in batches:
+        while len(batch):
+            first, last = key(batch, 0), key(batch, len(batch) - 1)
+            if held and key(held[0], 0) != first:
+                yield from sifted(pa.Table.from_batches(held))
+                held, rows, open_ = [], 0, False
+            if first != last:  # up to where its last group begins all groups are whole
+                lo, hi = 0, len(batch)
+                while lo < hi:
+                    mid = (lo + hi) // 2
+                    lo, hi = (lo, mid) if key(batch, mid) == last else (mid + 1, hi)
+                if open_:
+                    end = 0
+                    while key(batch, end) == first:
+                        end += 1
+                    yield batch.slice(0, end).select(keep)
+                    held, rows, open_, batch = [], 0, False, batch.slice(end)
+                    continue
+                yield from sifted(pa.Table.from_batches([*held, batch.slice(0, lo)]))
+                held, rows, batch = [], 0, batch.slice(lo)
+                continue
+            if open_:
+                yield batch.select(keep)
+            else:
+                held.append(batch)
+                rows += len(batch)
+                if rows > SPLIT:
+                    yield from (b.select(keep) for b in held)
+                    held, open_ = held[:1], True
+                    held[0] = held[0].slice(0, 1)
+            batch = batch.slice(len(batch))
+    if held and not open_:
+        yield from sifted(pa.Table.from_batches(held))
 
 
 def _first_shared(lists: list[np.ndarray], this: int) -> np.ndarray:
@@ -231,16 +324,28 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def met(vectors: DataFrame) -> DataFrame:
     """a, b, is_link from filed() vectors: counts (rep, copies linked with) and links of a spanning forest.
 
-    Who meets whom is settled on narrow rows; vectors join them once and are dealt out once."""
+    Who meets whom is settled on narrow rows; vectors join what is left of them and are dealt out once, each with those of
+    its filters that come before the one it is dealt to."""
     n = partitions(vectors.sparkSession)
     vectors = saved(vectors, "caps-filed")
-    rows = vectors.select("label_key", "rep", F.explode("filters").alias("filter"))
-    large = rows.groupBy("label_key", "filter").agg(F.count("*").alias("size")).where("size > 1")
-    dealt = rows.join(large, ["label_key", "filter"]).withColumn("chunks", F.ceil(F.col("size") / SPLIT).cast("int"))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.withColumns({"one": F.least("chunk", "other"), "two": F.greatest("chunk", "other")}).drop("size", "chunks", "other", "label_key")
-    dealt = dealt.join(vectors, "rep").repartition(n, "label_key", "filter", "one", "two").sortWithinPartitions("label_key", "filter", "one", "two")
+    rows = vectors.select("label_key", "rep", "s0", "s1", F.posexplode("filters").alias("nth", "filter"))
+    sifted = rows.repartition(n, "label_key", "filter").sortWithinPartitions("label_key", "filter").mapInArrow(_sift, "rep long, filter long, nth int")
+    sifted = saved(sifted, "caps-near")
+    wide = vectors.select("label_key", "rep", "copies", "vector", "filters")
+    dealt = sifted.join(wide, "rep").withColumn("filters", F.slice("filters", 1, F.col("nth")))
+    # Filters that a group of near copies crowds are cut into chunks; their sizes are of those that went on.
+    names = vectors.select("rep", "label_key")
+    large = sifted.join(names, "rep").groupBy("label_key", "filter").agg(F.count("*").alias("size")).where(F.col("size") > SPLIT)
+    large = saved(large.select(F.col("label_key").alias("of"), F.col("filter").alias("crowded"), F.ceil(F.col("size") / SPLIT).cast("int").alias("chunks")), "caps-large")
+    zero = F.lit(0)
+    if large.isEmpty():
+        dealt = dealt.withColumns({"chunk": zero, "one": zero, "two": zero})
+    else:
+        dealt = dealt.join(large, (F.col("label_key") == F.col("of")) & (F.col("filter") == F.col("crowded")), "left")
+        dealt = dealt.withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(zero, F.col("chunks") - 1)))
+        dealt = dealt.withColumns({"one": F.least("chunk", "other"), "two": F.greatest("chunk", "other")}).drop("chunks", "other", "of", "crowded")
+    dealt = dealt.drop("nth").repartition(n, "label_key", "filter", "one", "two").sortWithinPartitions("label_key", "filter", "one", "two")
     return dealt.mapInArrow(_meet, "a long, b long, is_link boolean")
 
 

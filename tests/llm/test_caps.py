@@ -53,6 +53,34 @@ def test_links_and_components(spark, seed):
     assert got[-9:] == want[-9:]  # the unusable rows
 
 
+def test_vectors_of_any_length(spark):
+    rng = np.random.default_rng(5)
+    v = [(1000 * d + k, [float(x) for x in np.float32(rng.normal(size=d))], k % 2) for d in (1, 2, 3, 8) for k in range(60)]
+    got, want = sorted(map(tuple, capdedup.near_duplicates(spark.createDataFrame(v, SCHEMA)).collect())), slow(v)
+    found, there = sum(g[1] for g in got), sum(w[1] for w in want)
+    assert there * 0.99 <= found <= there and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+
+
+def test_sifting_keeps_what_is_near_and_all_of_crowds(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(capdedup, "SPLIT", 50)
+    rng = np.random.default_rng(6)
+    rows, want = [], set()
+    for f, n in enumerate([1, 2, 30, 120, 1, 51, 50, 3]):
+        s = rng.integers(-(1 << 62), 1 << 62, size=(n, 2))
+        s[1::7] = s[::7][: len(s[1::7])] ^ 5
+        for k in range(n):
+            near = n > 50 or any(j != k and int(s[j, 0] ^ s[k, 0] & (1 << 64) - 1).bit_count() + int(s[j, 1] ^ s[k, 1]).bit_count() <= capdedup.NEAR_SIGNS for j in range(n))
+            rows.append(("a" if f < 4 else "b", f, 1000 * f + k, k, int(s[k, 0]), int(s[k, 1])))
+            want |= {1000 * f + k} if near else set()
+    names = ["label_key", "filter", "rep", "nth", "s0", "s1"]
+    for step in (7, 33, 400):
+        batches = [pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows[i : i + step], strict=True)), strict=True))) for i in range(0, len(rows), step)]
+        got = [r for b in capdedup._sift(iter(batches)) for r in b.column("rep").to_pylist()]
+        assert sorted(got) == sorted(want)
+
+
 def test_no_vectors(spark):
     assert capdedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     one = capdedup.near_duplicates(spark.createDataFrame([(1, None, None)], SCHEMA)).collect()
@@ -67,8 +95,8 @@ def test_split_filters_count_like_whole_ones(spark, monkeypatch):
 
 
 def test_decoding_lists_all_exceeding_filters():
-    f = capdedup.Filters.design(64, 5000)
-    assert f.blocks == 2 and abs(capdedup.cap_share(0.0, 64) - 0.5) < 1e-3
+    f = capdedup.Filters(64, 2, 60, 0.3)
+    assert abs(capdedup.cap_share(0.0, 64) - 0.5) < 1e-3 and capdedup.Filters.design(64, 10**9).blocks > 2
     turn, codes = f.tables()
     x = np.random.default_rng(0).normal(size=(20, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
