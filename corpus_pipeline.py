@@ -3,6 +3,11 @@
 Toxicity, SimHash near-dedup, secret redaction, mixing sources to target weights, best-fit packing.  A stage sees all that
 its predecessor kept.  Classifying and packing go beyond SQL, so there is no ORACLE_SQL; tests hold the stages against
 brute-force versions.
+
+Defined results: a null text counts as empty in every stage and stays null until the mix, which takes no words of it, so
+it is in no sequence; a row without doc_id is judged by its text; of equal rows and of rows in one near-duplicate class one
+stays, that of the smallest doc_id; an empty table gives no rows.  Columns beside doc_id, text, source and n_chars pass
+through the first four stages whatever their names.
 """
 
 from __future__ import annotations
