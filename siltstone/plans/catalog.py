@@ -11,7 +11,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = ("ledger_queries", "text_queries", "window_queries", "stream_queries")
+PARTS = ("ledger_queries", "text_queries", "window_queries", "stream_queries", "upkeep_queries", "function_queries")
 
 
 def _parts() -> list:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ENVELOPE = ("item_id", "kind", "title", "body", "occurred_at", "author", "site", "route", "source_name", "version")
@@ -63,6 +63,20 @@ def publish(files: DataFrame, path: str, expected: int = 3) -> None:
             fs.delete(at(stage), True)
 
 
+def release_once(files: DataFrame, path: str) -> int:
+    """Released passages (item_id, ref, name, data) appended where no file of that item and ref is yet; how many were new.
+
+    One writer at a time: what is there is read first, so a replay after a failure writes only what is missing."""
+    spark = files.sparkSession
+    fs, at = _fs(spark, path)
+    new = files.dropDuplicates(["item_id", "ref"]).select("item_id", "ref", "name", "data")
+    if fs.exists(at(path)):
+        new = new.join(spark.read.schema(new.schema).parquet(path).select("item_id", "ref"), ["item_id", "ref"], "left_anti")
+    new = new.observe(seen := Observation(), F.count("*").alias("n"))
+    new.write.mode("append").parquet(path)
+    return seen.get["n"]
+
+
 def envelopes(df: DataFrame) -> DataFrame:
     """A JSON document a row, of exactly the agreed fields."""
     if set(df.columns) != set(ENVELOPE):
