@@ -37,7 +37,7 @@ class Encoder(dict):
         # A tokenizer that drops white space has no use for it in its units.
         self.keeps_space = bool(self.whole.encode(" ", add_special_tokens=False).ids)
         self.lower = self.whole.encode("A", add_special_tokens=False).ids == self.whole.encode("a", add_special_tokens=False).ids
-        self.units = re.compile("[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+" if self.keeps_space else "[^ \t\n\r\f\v]+").findall
+        self.units = re.compile("[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+").findall
         self.simple = re.compile(f"( ?[{_LETTERS}]+)([.,]?)" if self.keeps_space else f"([{_LETTERS}]+)([.,]?)").fullmatch
         self.ends = {x: self.packed(self.whole.encode(x, add_special_tokens=False).ids) for x in ".,"} | {"": b""}
 
@@ -45,25 +45,39 @@ class Encoder(dict):
     def packed(ids: list[int]) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
+    def of_word(self, word: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        if m := self.simple(unit):
+        core = unit[1:] if self.keeps_space and unit[:1] == " " else unit
+        if core.isascii() and core.isalpha():  # the commonest case: these letters stand for themselves
+            word = core.lower() if self.lower else core
+            out = self.of_word(word if core is unit else self.letters[32] + word)
+        elif m := self.simple(unit):
             word, end = m.groups()
             word = word.lower() if self.lower else word
-            out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize("".join([self.letters[b] for b in word.encode()]))]) + self.ends[end]
+            out = self.of_word("".join([self.letters[b] for b in word.encode()])) + self.ends[end]
         else:
             out = self.packed(self.whole.encode(unit, add_special_tokens=False).ids)
         if len(unit) <= 64:
             self[unit] = out
         return out
 
+    def cut(self, text: str) -> list[str]:
+        """The units of a text that has no white space but ASCII's.  Not every place need be cut, so plain splits do for most texts."""
+        if not self.keeps_space:
+            return text.split()
+        if any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\0", "\t", "\r", "\f", "\v")):
+            return self.units(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+
     def encode(self, text: str | None) -> bytes:
         text = text or ""
         if not text.isascii() and _OTHER_SPACE.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.packed(self.whole.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.__getitem__, self.units(text)))
-
+        return b"".join(map(self.__getitem__, self.cut(text)))
 
     def count(self, text: str | None) -> int:
         """How many ids `encode` gives."""
