@@ -30,10 +30,15 @@ def count_words(text: C) -> Column:
     return F.size(spoken_words(text))
 
 
+def distinct_ratio(words: Column) -> Column:
+    """C20: distinct words over words, edge punctuation and case aside; 1 if there are none."""
+    clean = F.transform(words, lambda x: F.lower(F.trim(x, F.lit(""".,;:!?"'()[]"""))))
+    # An array of one binds the words to a name, so that they are made once and not once a use.
+    return F.get(F.transform(F.array(clean), lambda w: F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(1.0))), F.lit(0))
+
+
 def distinct_word_ratio(text: C) -> Column:
-    """C20: distinct words over words, edge punctuation and case aside; 1 for an empty text."""
-    w = F.transform(spoken_words(text), lambda x: F.lower(F.trim(x, F.lit(""".,;:!?"'()[]"""))))
-    return F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(1.0))
+    return distinct_ratio(spoken_words(text))
 
 
 def tokens(text: C) -> Column:

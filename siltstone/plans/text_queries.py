@@ -123,7 +123,8 @@ def clamped_confidence(spark, d):
 
 
 @R("""with t as (select item_id, 'subject: s' || (item_id % 7) || chr(10) || 'Date: 2024-01-0' || (item_id % 9 + 1) || chr(10) || 'x-other: 1' || chr(10) || 'to: a: b' || chr(10) || chr(10) || text as t from benchmark)
-    select item_id, 's' || (item_id % 7) as subject, '2024-01-0' || (item_id % 9 + 1) as date, 'a: b' as "to", 3 as n from t""")
+    , h as (select item_id, split_part(t, chr(10) || chr(10), 1) as h from t) select item_id, trim(regexp_extract(h, '(?im)^subject:(.*)$', 1)) as subject, trim(regexp_extract(h, '(?im)^date:(.*)$', 1)) as date, trim(regexp_extract(h, '(?im)^to:(.*)$', 1)) as "to",
+    len(list_distinct(list_transform(regexp_extract_all(h, '(?im)^(from|to|cc|subject|date|sent):', 1), lambda x: lower(x)))) as n from h""")
 def header_parse(spark, d):
     k = F.col("item_id")
     t = F.concat(F.lit("subject: s"), k % 7, F.lit("\nDate: 2024-01-0"), k % 9 + 1, F.lit("\nx-other: 1\nto: a: b\n\n"), F.col("text"))
@@ -131,10 +132,12 @@ def header_parse(spark, d):
     return table(spark, d, "benchmark").select("item_id", *(F.element_at(h, c).alias(c) for c in ("subject", "date", "to")), F.size(h).alias("n"))
 
 
-@R("""select item_id, case when item_id % 4 = 0 then 'no date' when item_id % 4 = 1 then 'subject differs' when item_id % 4 = 2 then 'holds an address' else '' end as problems from benchmark""")
+@R(f"""with t as (select item_id, 'subject: ' || case when item_id % 4 = 1 then 'other' else 'mine' end || case when item_id % 4 = 0 then '' else chr(10) || 'date: 2024-01-05 10:00:00 +02:00' end || chr(10) || chr(10) || case when item_id % 4 = 2 then 'write to a.b@example.com' else text end as t from benchmark),
+    h as (select item_id, t, split_part(t, chr(10) || chr(10), 1) as h from t), p as (select item_id, [case when trim(regexp_extract(h, '(?im)^subject:(.*)$', 1)) <> 'mine' then 'subject differs' end, case when not regexp_matches(h, '(?im)^date:') then 'no date' end, case when regexp_matches(t, '{EMAIL}') then 'holds an address' end] as p from h)
+    select item_id, array_to_string(list_filter(p, lambda x: x is not null), ',') as problems from p""")
 def contract_check(spark, d):
     k = F.col("item_id") % 4
-    t = F.concat(F.lit("subject: "), F.when(k == 1, "other").otherwise("mine"), F.when(k == 0, "").otherwise("\ndate: 2024-01-05 10:00:00 +02:00"), F.lit("\n\n"), F.when(k == 2, "write to a.b@example.com").otherwise("a body"))
+    t = F.concat(F.lit("subject: "), F.when(k == 1, "other").otherwise("mine"), F.when(k == 0, "").otherwise("\ndate: 2024-01-05 10:00:00 +02:00"), F.lit("\n\n"), F.when(k == 2, "write to a.b@example.com").otherwise(F.col("text")))
     return table(spark, d, "benchmark").select("item_id", F.array_join(T.contract_problems(t, F.lit("mine")), ",").alias("problems"))
 
 
@@ -219,13 +222,13 @@ def quotes_exact(spark, d):
     return E.exact_quotes(q, docs(spark, d)).select("quote_id", "doc_id", F.col("at").cast("long").alias("place"))
 
 
-@R(r"""with f as (select doc_id, [case when regexp_matches(text, '(^|[^A-Za-z0-9])[0-9]+([^A-Za-z0-9]|$)') then 'number' end,
+@R(r"""with f as (select doc_id, [case when regexp_matches(text, '(^|[^A-Za-z])[0-9]([^A-Za-z]|$)') then 'number' end,
     case when regexp_matches(text, '(?i)\b\d{4}-\d{2}-\d{2}\b|\b(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|today|tomorrow|yesterday|deadline|overdue)\b') then 'date' end,
     case when regexp_matches(text, '(?i)%|\b(?:percent|price|quote|invoice|cost|budget|deposit|payment|paid)\b') then 'amount' end, case when regexp_matches(text, '(?i)\b(?:approv(?:e|ed|al)|agreed?|accepted|confirm(?:ed)?|permission|proceed)\b') then 'approval' end,
     case when regexp_matches(text, '(?i)\b(?:i''?ll|we''?ll|i will|we will|going to|promised?|must|need to|have to)\b') then 'promise' end, case when regexp_matches(text, '(?i)\b(?:plumb|electric|roof|concrete|paint|tiling|window|door)\w*\b') then 'trade' end] as t from documents)
-    select doc_id, array_to_string(list_filter(t, lambda x: x is not null and x <> 'number'), ',') as triggers from f""")
+    select doc_id, array_to_string(list_filter(t, lambda x: x is not null), ',') as triggers from f""")
 def precheck_triggers(spark, d):
-    return docs(spark, d).select("doc_id", F.array_join(F.filter(E.precheck(F.col("text")), lambda x: x != "number"), ",").alias("triggers"))
+    return docs(spark, d).select("doc_id", F.array_join(E.precheck(F.col("text")), ",").alias("triggers"))
 
 
 @R("""with w as (select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]'))) as words, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]')), lambda x: lower(regexp_replace(x, '^[.,;:!?"''()\\[\\]]+|[.,;:!?"''()\\[\\]]+$', '', 'g'))) as l,
@@ -235,7 +238,8 @@ def precheck_triggers(spark, d):
 def plausibility_verdict(spark, d):
     k = F.col("doc_id")
     duration = F.when(k % 17 != 0, F.col("n_chars") / 14.0 * (1 + k % 9))
-    return docs(spark, d).select("doc_id", E.plausibility(T.count_words("text"), duration, k % 31 == 0, F.col("n_chars") / 14.0 * (k % 5) / 2, T.distinct_word_ratio("text")).alias("verdict"))
+    said = docs(spark, d).select("doc_id", "n_chars", T.spoken_words("text").alias("words")).select("doc_id", "n_chars", F.size("words").alias("n"), T.distinct_ratio(F.col("words")).alias("ratio"))
+    return said.select("doc_id", E.plausibility(F.col("n"), duration, k % 31 == 0, F.col("n_chars") / 14.0 * (k % 5) / 2, F.col("ratio")).alias("verdict"))
 
 
 @R()
