@@ -11,3 +11,7 @@ def plan(df):
 
 def test_binding_does_not_broadcast_exploded_words(spark):
     assert "Broadcast" not in plan(catalog.queries()["entity_bind_tie_null"](spark, DATA))
+
+
+def test_mentions_do_not_broadcast_exploded_words(spark):
+    assert "Broadcast" not in plan(catalog.queries()["mentions_max"](spark, DATA))
