@@ -15,3 +15,7 @@ def test_binding_does_not_broadcast_exploded_words(spark):
 
 def test_mentions_do_not_broadcast_exploded_words(spark):
     assert "Broadcast" not in plan(catalog.queries()["mentions_max"](spark, DATA))
+
+
+def test_ranking_does_not_broadcast_exploded_words(spark):
+    assert "Broadcast" not in plan(catalog.queries()["entity_ranked"](spark, DATA))
