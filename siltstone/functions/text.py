@@ -313,9 +313,13 @@ def parse_bytes(text: C) -> Column:
 
 
 def format_bytes(n: C) -> Column:
-    """I66."""
+    """To a tenth; a tie goes to the even digit, as in C's printf (Java's would go up)."""
     v = _c(n).cast("double")
-    step = lambda p, unit: F.concat(F.format_string("%.1f", v / (1 << p)), F.lit(" " + unit))
+
+    def step(p: int, unit: str) -> Column:
+        x = v / (1 << p)  # exact, and so is its part below one
+        return F.concat(F.format_string("%.1f", x - x % 1 + F.rint(x % 1 * 10) / 10), F.lit(" " + unit))
+
     return F.when(v < 1 << 10, F.concat(v.cast("long").cast("string"), F.lit(" B"))).when(v < 1 << 20, step(10, "KiB")).when(v < 1 << 30, step(20, "MiB")).otherwise(step(30, "GiB"))
 
 

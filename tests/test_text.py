@@ -76,3 +76,9 @@ def test_restoring_and_refs(spark):
     t = F.lit("a [held ABCDEF] b [held 012345] c [held ABCDEF]")
     assert one(spark, T.refs_in(t)) == ["ABCDEF", "012345"]
     assert one(spark, T.restore(t, F.create_map(F.lit("ABCDEF"), F.lit("words")))) == "a words b [held 012345] c words"
+
+
+def test_sizes_are_rounded_as_by_printf(spark):
+    sizes = [1023, 1024, 1024 + 256, 1024 + 768, (5 << 20) + (1 << 18), (7 << 20) + (3 << 18), (9 << 30) + (1 << 28), (9 << 30) + (1 << 28) + 1, (1 << 20) - 1, (1 << 53) - 1]
+    got = [one(spark, T.format_bytes(F.lit(x))) for x in sizes]
+    assert got == ["1023 B", *(f"{x / 1024:.1f} KiB" for x in sizes[1:4]), "5.2 MiB", "7.8 MiB", "9.2 GiB", "9.3 GiB", "1024.0 KiB", "8388608.0 GiB"]
