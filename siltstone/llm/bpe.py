@@ -7,6 +7,7 @@ other white space than ASCII's next to which this does not hold are encoded in o
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from functools import lru_cache
@@ -92,3 +93,10 @@ def encoder(tokenizer: str, limit: int = CACHE_UNITS) -> Encoder:
 
         tokenizer = public_tokenizers.path(tokenizer)
     return Encoder(tokenizer, limit)
+
+
+def forget() -> None:
+    """Frees what a Python worker still holds of encoding, at the start of a task that encodes nothing: workers are used again."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm.bpe import forget
 from siltstone.llm.common import components, free_name, partitions, saved
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -57,6 +58,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, h (a hash of the text), fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py()) for x in batch.column("text")), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
@@ -144,6 +146,7 @@ def group_links(point: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[np.
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by point; the last point of a batch waits for the next batch."""
+    forget()
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def out(rows: list) -> pa.RecordBatch:

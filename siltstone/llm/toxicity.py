@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.llm.bpe import forget
 from siltstone.llm.common import free_name, saved
 
 SAMPLE = 30_000  #: labelled texts that are used for fitting, at most (about)
@@ -243,6 +244,7 @@ def learn_lexicons(rows: DataFrame, size: int = LEXICON) -> list[dict[str, float
     fold k for each k, and last one from all folds.  One grouped count gives them all."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, len(b), SLICE)):
             got = zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True)
             rows = [(e, y, f) for t, y, f in got for e in {e for w in set(tokens(t)) if len(w) <= MOST_LETTERS for e in entries(w)}]
@@ -271,6 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     *partial, lexicon = learn_lexicons(rows)
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         words = [Words(x) for x in partial]
         for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, len(b), SLICE)):
             folds = batch.column("fold")
@@ -301,6 +304,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by LEXICON and the trees' number
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = batch.column("text")
             s = [shared.value.scores([t or "" for t in texts.slice(lo, SLICE).to_pylist()]) for lo in range(0, len(batch), SLICE)]

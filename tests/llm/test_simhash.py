@@ -139,3 +139,11 @@ def test_hubs_apart_give_the_same_components(spark):
     edges = [(0, k) for k in range(1, 60)] + [(rng.randrange(400), rng.randrange(400)) for _ in range(150)] + [(500 + k, 501 + k) for k in range(30)]
     df = spark.createDataFrame(edges, "a long, b long")
     assert sorted(map(tuple, components(df, most=5).collect())) == sorted(map(tuple, components(df).collect()))
+
+
+def test_a_task_that_encodes_nothing_frees_the_encoder_of_one_before():
+    from siltstone.llm import bpe
+
+    bpe.encoder("word_bpe_49k.json", 10)
+    assert bpe.encoder.cache_info().currsize and not list(simhash._links(iter([])))
+    assert not bpe.encoder.cache_info().currsize
