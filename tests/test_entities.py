@@ -29,6 +29,12 @@ def test_ranking_does_not_broadcast_exploded_words(spark):
     assert "Broadcast" not in plan(catalog.queries()["entity_ranked"](spark, DATA))
 
 
+def test_ranking_broadcasts_nothing_when_planned_anew(spark):
+    """As it runs, Spark plans anew by the sizes that it meets: no small table goes through the driver then either."""
+    df = catalog.queries()["entity_ranked"](spark, DATA)
+    assert df.collect() and "isFinalPlan=true" in plan(df) and "Broadcast" not in plan(df)
+
+
 def named(texts, sites):
     """D14 pair by pair, as its SQL counts: rows that share a key add up."""
     d, s = defaultdict(Counter), defaultdict(Counter)
